@@ -16,5 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_findings(file_texts(spark, sf_dir), load(spark, sf_dir, "document_metadata"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.tokenizer import encode_table
+
+    return encode_table(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p8_ids": p8_ids}
