@@ -56,6 +56,9 @@ def estimate_zones(files: DataFrame, sites: DataFrame, candidates: list[str]) ->
     return scored.groupBy("site_id").agg(F.min_by("zone", F.struct("violations", "gap", "zone")).alias("estimated_zone"))
 
 
+normalise = normalise.asNondeterministic()  # else the filter on its result evaluates it a second time
+
+
 def normalise_dates(files: DataFrame, sites: DataFrame, zone_candidates: list[str] | None = None) -> DataFrame:
     """(file_id, field_name, item_no, normal_form) of every value with a complete, possible date.
 
@@ -73,6 +76,6 @@ def normalise_dates(files: DataFrame, sites: DataFrame, zone_candidates: list[st
         lambda v, i: F.struct(F.lit("dates_found").alias("field_name"), (i + 1).cast("bigint").alias("item_no"), v.alias("value")),
     )
     items = files.select("file_id", "site_id", F.explode(F.concat(one, many)).alias("item")).filter("item.value is not null and file_id is not null")
-    placed = items.join(broadcast_if_small(places), "site_id", "left")
+    placed = items.join(broadcast_if_small(places, like=named), "site_id", "left")
     found = placed.select("file_id", "item.field_name", "item.item_no", normalise("item.value", "zone", "date_order").alias("normal_form"))
     return found.filter("normal_form is not null").distinct()

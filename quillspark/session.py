@@ -72,11 +72,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def table_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan in bytes; used to decide whether a side may be broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
-    """Mark a side for broadcast only when its estimated size is known to be under the limit; otherwise leave it to a shuffle join."""
+def broadcast_if_small(df: DataFrame, limit: int = 8 << 20, like: DataFrame | None = None) -> DataFrame:
+    """Mark a side for broadcast only when its estimated size is known to be under the limit; otherwise leave it to a shuffle join.
+
+    like: a table that bounds df, where df has at most one row for each of its rows and Catalyst cannot see that.
+    """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if table_bytes(df) <= limit else df
+    return F.broadcast(df) if table_bytes(df if like is None else like) <= limit else df
