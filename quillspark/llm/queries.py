@@ -22,5 +22,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(load(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.levels import reading_levels
+
+    english = load(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+    return reading_levels(english, load(spark, sf_dir, "reading_samples"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p8_ids": p8_ids, "p10_found": p10_found}
