@@ -22,6 +22,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(load(spark, sf_dir, "documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.mixing import mix
+
+    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.mixing import mix
+
+    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.levels import reading_levels
 
@@ -30,4 +42,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p8_ids": p8_ids, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
