@@ -16,6 +16,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_findings(file_texts(spark, sf_dir), load(spark, sf_dir, "document_metadata"))
 
 
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.language import language_findings
+
+    return language_findings(file_texts(spark, sf_dir), load(spark, sf_dir, "document_metadata"), load(spark, sf_dir, "documents"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_languages(spark, sf_dir).select("file_id", "seg_no", "lang")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.tokenizer import encode_table
 
@@ -42,4 +52,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p5_languages": p5_languages, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
