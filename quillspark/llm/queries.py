@@ -26,6 +26,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_languages(spark, sf_dir).select("file_id", "seg_no", "lang")
 
 
+def p7_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.subjects import subject_findings
+
+    return subject_findings(file_texts(spark, sf_dir), load(spark, sf_dir, "classification_results"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_subjects(spark, sf_dir).select("file_id", "subject").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.tokenizer import encode_table
 
@@ -52,4 +62,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p5_languages": p5_languages, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p5_languages": p5_languages, "p7_found": p7_found, "p7_subjects": p7_subjects, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
