@@ -26,6 +26,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_languages(spark, sf_dir).select("file_id", "seg_no", "lang")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.pii import find_entities
+
+    return find_entities(file_texts(spark, sf_dir))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.pii import redact
+
+    return redact(file_texts(spark, sf_dir)).distinct()
+
+
 def p7_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.subjects import subject_findings
 
@@ -62,4 +74,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p5_languages": p5_languages, "p7_found": p7_found, "p7_subjects": p7_subjects, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_subjects": p7_subjects, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
