@@ -16,6 +16,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_findings(file_texts(spark, sf_dir), load(spark, sf_dir, "document_metadata"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.scans import scan_faults
+
+    return scan_faults(file_texts(spark, sf_dir))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.scans import repaired_texts
+
+    return repaired_texts(file_texts(spark, sf_dir)).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.neardup import near_duplicates
 
@@ -80,4 +92,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_subjects": p7_subjects, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_subjects": p7_subjects, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
