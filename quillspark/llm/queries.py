@@ -66,6 +66,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_subjects(spark, sf_dir).select("file_id", "subject").distinct()
 
 
+def p1_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.quality import text_stats
+
+    return text_stats(file_texts(spark, sf_dir)).select("file_id", "words", "marks").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.tokenizer import encode_table
 
@@ -92,4 +98,20 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_subjects": p7_subjects, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+    return {
+        "p1_found": p1_found,
+        "p1_stats": p1_stats,
+        "p3_found": p3_found,
+        "p3_repaired": p3_repaired,
+        "p4_found": p4_found,
+        "p5_found": p5_found,
+        "p5_languages": p5_languages,
+        "p6_found": p6_found,
+        "p6_redacted": p6_redacted,
+        "p7_found": p7_found,
+        "p7_subjects": p7_subjects,
+        "p8_ids": p8_ids,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
+        "p10_found": p10_found,
+    }

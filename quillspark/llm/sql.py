@@ -1,7 +1,28 @@
-"""DuckDB counterparts of the pN_ queries that SQL can express."""
+"""DuckDB counterparts of the pN_ queries that SQL can express on whole tables."""
 
 from __future__ import annotations
 
+# Every pair that shares a shingle is counted; the whole sets decide. No prefix, signature or tree is used here.
+P4 = r"""
+WITH t AS (SELECT file_id, max(lower(text)) AS t FROM extracted_content WHERE regexp_matches(text, '\S') GROUP BY 1),
+w AS (SELECT file_id, regexp_extract_all(t, '[\p{L}\p{N}]+') AS w FROM t),
+n AS (SELECT DISTINCT file_id, regexp_replace(regexp_replace(lower(file_name), '\.[^.]*$', ''), '[^\p{L}\p{N}]', '', 'g') AS s
+      FROM document_metadata WHERE file_id NOT IN (SELECT file_id FROM t)),
+g AS (SELECT DISTINCT 't' AS kind, file_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w
+      UNION ALL
+      SELECT DISTINCT 'n', file_id, unnest(list_transform(range(1, len(s) - 1), lambda i: s[i:i + 2])) FROM n),
+c AS (SELECT kind, file_id, count(*) AS n FROM g GROUP BY ALL),
+p AS (SELECT a.kind, a.file_id AS a, b.file_id AS b, count(*) AS i FROM g a JOIN g b ON a.kind = b.kind AND a.g = b.g AND a.file_id < b.file_id GROUP BY ALL)
+SELECT p.a AS file_id_a, p.b AS file_id_b FROM p JOIN c x ON x.file_id = p.a AND x.kind = p.kind JOIN c y ON y.file_id = p.b AND y.kind = p.kind
+WHERE i * 5 >= (x.n + y.n - i) * 3
+"""
+
+# The recorded count and score against the text; the kinds of text are not expressible here, so only these two rules.
+P1_STATS = r"""
+SELECT DISTINCT file_id, len(regexp_extract_all(text, '\S+')) AS words, len(regexp_replace(text, '[^.!?]', '', 'g')) AS marks
+FROM extracted_content WHERE regexp_matches(text, '\S')
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4, "p1_stats": P1_STATS}
