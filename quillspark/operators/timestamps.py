@@ -20,7 +20,6 @@ LOCAL_TIME = r"^\s*(\d{4})[-/:](\d\d)[-/:](\d\d)[T ](\d\d):(\d\d):(\d\d)\s*$"
 MAX_GAP_HOURS = 24 * 3650
 
 
-@F.pandas_udf("string")
 def normalise(value: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
     known: dict[tuple, str | None] = {}
     out = []
@@ -56,9 +55,6 @@ def estimate_zones(files: DataFrame, sites: DataFrame, candidates: list[str]) ->
     return scored.groupBy("site_id").agg(F.min_by("zone", F.struct("violations", "gap", "zone")).alias("estimated_zone"))
 
 
-normalise = normalise.asNondeterministic()  # else the filter on its result evaluates it a second time
-
-
 def normalise_dates(files: DataFrame, sites: DataFrame, zone_candidates: list[str] | None = None) -> DataFrame:
     """(file_id, field_name, item_no, normal_form) of every value with a complete, possible date.
 
@@ -77,5 +73,7 @@ def normalise_dates(files: DataFrame, sites: DataFrame, zone_candidates: list[st
     )
     items = files.select("file_id", "site_id", F.explode(F.concat(one, many)).alias("item")).filter("item.value is not null and file_id is not null")
     placed = items.join(broadcast_if_small(places, like=named), "site_id", "left")
-    found = placed.select("file_id", "item.field_name", "item.item_no", normalise("item.value", "zone", "date_order").alias("normal_form"))
+    # not deterministic to the optimizer, else the filter on its result evaluates it a second time
+    form = F.pandas_udf(normalise, "string").asNondeterministic()
+    found = placed.select("file_id", "item.field_name", "item.item_no", form("item.value", "zone", "date_order").alias("normal_form"))
     return found.filter("normal_form is not null").distinct()

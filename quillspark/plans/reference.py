@@ -12,7 +12,10 @@ from quillspark.operators import classify, clean, grade, history, planning, prof
 from quillspark.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
-TEXT = F.coalesce(F.col("content"), F.lit(""))
+
+
+def text():
+    return F.coalesce(F.col("content"), F.lit(""))
 
 
 def joined(column, separator: str = "|"):
@@ -52,7 +55,7 @@ def display(c: DataFrame) -> DataFrame:
 
 
 def cleaned(c: DataFrame) -> DataFrame:
-    return c.select("doc_id", clean.without_artifacts(TEXT).alias("cleaned"))
+    return c.select("doc_id", clean.without_artifacts(text()).alias("cleaned"))
 
 
 def enhanced(c: DataFrame) -> DataFrame:
@@ -61,30 +64,30 @@ def enhanced(c: DataFrame) -> DataFrame:
 
 
 def sentence_scores(c: DataFrame) -> DataFrame:
-    s = c.select("doc_id", F.explode(clean.scored_sentences(TEXT)).alias("x"))
+    s = c.select("doc_id", F.explode(clean.scored_sentences(text())).alias("x"))
     return s.select("doc_id", F.col("x.pos").cast("bigint").alias("pos"), F.round(-F.col("x.minus"), 6).alias("score"))
 
 
 def extractor(c: DataFrame) -> DataFrame:
     """Structure, amounts and fiscal hints of a text."""
-    amounts = F.flatten(F.array(*[F.regexp_extract_all(TEXT, F.lit("(?iu)" + p), F.lit(0)) for p in (r"\$[\d,]+\.?\d*", r"[\d,]+\.\d{2}\s*(?:USD|dollars?)", r"amount[:\s]+\$?[\d,]+\.?\d*")]))
+    amounts = F.flatten(F.array(*[F.regexp_extract_all(text(), F.lit("(?iu)" + p), F.lit(0)) for p in (r"\$[\d,]+\.?\d*", r"[\d,]+\.\d{2}\s*(?:USD|dollars?)", r"amount[:\s]+\$?[\d,]+\.?\d*")]))
     numbers = F.filter(F.transform(amounts, lambda a: F.regexp_replace(a, "[^0-9.]", "").try_cast("double")), lambda v: v.isNotNull())
-    year = F.regexp_extract(TEXT, r"(?iu)fy[\s-]?(\d{2,4})", 1)
-    spelled = F.regexp_extract(TEXT, r"(?iu)fiscal\s+year\s+(\d{2,4})", 1)
+    year = F.regexp_extract(text(), r"(?iu)fy[\s-]?(\d{2,4})", 1)
+    spelled = F.regexp_extract(text(), r"(?iu)fiscal\s+year\s+(\d{2,4})", 1)
     return c.select(
         "doc_id",
         joined(F.transform(F.slice(F.reverse(F.array_sort(numbers)), 1, 5), lambda v: (v * 100).cast("bigint").cast("string"))).alias("top_amounts_cents"),
-        TEXT.rlike(r"(?m)^[A-Z][A-Z\s]+$").alias("has_headers"),
-        TEXT.rlike(r"(?m)^\s*\d+\.").alias("has_numbered_items"),
-        TEXT.rlike(r"(?m)^\s*[•\-*]").alias("has_bullet_points"),
+        text().rlike(r"(?m)^[A-Z][A-Z\s]+$").alias("has_headers"),
+        text().rlike(r"(?m)^\s*\d+\.").alias("has_numbered_items"),
+        text().rlike(r"(?m)^\s*[•\-*]").alias("has_bullet_points"),
         F.when(year != "", year).when(spelled != "", spelled).alias("fiscal_year_pattern"),
-        joined(F.transform(F.regexp_extract_all(TEXT, F.lit(r"(?iu)q[1-4]\s+\d{4}"), F.lit(0)), lambda q: F.upper(q)), ",").alias("quarters"),
+        joined(F.transform(F.regexp_extract_all(text(), F.lit(r"(?iu)q[1-4]\s+\d{4}"), F.lit(0)), lambda q: F.upper(q)), ",").alias("quarters"),
     )
 
 
 def factor_input(c: DataFrame) -> DataFrame:
     k = classify.classified(c).select("doc_id", "confidence")
-    flags = c.select("doc_id", "content", "file_name", profile.any_match(TEXT, [p for p, _ in profile.DATE_PATTERNS]).alias("has_dates"), TEXT.rlike(r"\$[\d,]+\.?\d*").alias("has_amounts"))
+    flags = c.select("doc_id", "content", "file_name", profile.any_match(text(), [p for p, _ in profile.DATE_PATTERNS]).alias("has_dates"), text().rlike(r"\$[\d,]+\.?\d*").alias("has_amounts"))
     return flags.join(k, "doc_id")
 
 
@@ -125,7 +128,7 @@ def queries() -> dict[str, Query]:
         "T15_best_attempt": lambda s, d: grade.best_attempt(load(s, d, "extracted_content").dropDuplicates(["content_id"])),
         "T16_normalise_unicode": lambda s, d: load(s, d, "documents").select("doc_id", F.md5(clean.normalise_unicode(F.coalesce("text", F.lit("")))).alias("digest")),
         "T17_without_artifacts": on_corpus(cleaned),
-        "T18_structured": on_corpus(lambda c: c.select("doc_id", clean.structured(TEXT).alias("structured"))),
+        "T18_structured": on_corpus(lambda c: c.select("doc_id", clean.structured(text()).alias("structured"))),
         "T19_T20_L05_sentence_scores": on_corpus(sentence_scores),
         "T21_T22_W08_summary": on_corpus(clean.summaries),
         "T23_enhanced": on_corpus(enhanced),
