@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import load
+from quillspark.session import load, spread
 
 
 def has_text(col: str = "text") -> Column:
@@ -19,4 +19,4 @@ def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Deliveries repeat with the same text, so per-file operators map over all of them and take distinct results: that
     moves a few result rows instead of shuffling every text to find the repeats.
     """
-    return load(spark, sf_dir, "extracted_content").select("file_id", "text").filter(has_text() & F.col("file_id").isNotNull())
+    return spread(load(spark, sf_dir, "extracted_content").select("file_id", "text")).filter(has_text() & F.col("file_id").isNotNull())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import file_texts
-from quillspark.session import load
+from quillspark.session import load, spread
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,25 +75,25 @@ def p1_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.tokenizer import encode_table
 
-    return encode_table(load(spark, sf_dir, "documents"))
+    return encode_table(spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.mixing import mix
 
-    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets"))[0]
+    return mix(spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source")), load(spark, sf_dir, "source_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.mixing import mix
 
-    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets"))[1]
+    return mix(spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source")), load(spark, sf_dir, "source_targets"))[1]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.levels import reading_levels
 
-    english = load(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+    english = spread(load(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text"))
     return reading_levels(english, load(spark, sf_dir, "reading_samples"))
 
 
