@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.session import load
+from quillspark.session import load, spread
 
 # {date}: the order date as "June 3, 1996"; {iso}: as "1996-06-03"; {text}: the type of a string.
 CORPUS_SQL = r"""
@@ -48,7 +48,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = CORPUS_SQL
     for k, v in SPARK_PARTS.items():
         text = text.replace("{" + k + "}", v)
-    return spark.sql(text.replace("\\", "\\\\"), orders=load(spark, sf_dir, "orders"))
+    return spark.sql(text.replace("\\", "\\\\"), orders=spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")))
 
 
 def corpus_cte() -> str:

@@ -58,18 +58,23 @@ GENERIC_NAMES = "document file untitled scan image photo new copy temp draft unk
 FACTOR_WEIGHTS = {"mixed_signals": 0.3, "sparse_content": 0.2, "ambiguous_filename": 0.15, "missing_metadata": 0.1}
 
 
-def category_score(text: Column, category: str) -> Column:
+def occurs(low: Column, pattern: str) -> Column:
+    """Whether a pattern occurs in a lower-cased text; plain words need no regular expression."""
+    return F.contains(low, F.lit(pattern)) if pattern.isalpha() else low.rlike(pattern)
+
+
+def category_score(low: Column, category: str) -> Column:
     """Mean over the rule sets of the share of patterns that occur, times the weight of the set; summed in rule order."""
     total = F.lit(0.0)
     for weight, patterns in RULES[category]:
-        hits = sum((text.rlike("(?iu)" + p).cast("int") for p in patterns), F.lit(0))
+        hits = sum((occurs(low, p).cast("int") for p in patterns), F.lit(0))
         total = total + hits / F.lit(float(len(patterns))) * F.lit(weight)
     return total / F.lit(float(len(RULES[category])))
 
 
 def rule_scores(df: DataFrame) -> DataFrame:
-    t = F.coalesce("content", F.lit(""))
-    return df.select("doc_id", *[category_score(t, c).alias(c) for c in RULES])
+    low = df.select("doc_id", F.lower(F.coalesce("content", F.lit(""))).alias("low"))
+    return low.select("doc_id", *[category_score(F.col("low"), c).alias(c) for c in RULES])
 
 
 def best_category() -> Column:

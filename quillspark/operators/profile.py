@@ -58,17 +58,22 @@ def content_counts(df: DataFrame, text: str = "content") -> DataFrame:
 
 
 def any_match(text: Column, patterns) -> Column:
-    out = F.lit(False)
+    low, out = F.lower(text), F.lit(False)
     for p in patterns:
-        out = out | text.rlike("(?iu)" + p)
+        out = out | low.rlike(p.lower())
     return out
 
 
 def has_headers(text: Column) -> Column:
     """A stripped non-blank line under 50 characters whose next one is longer."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    pairs = F.arrays_zip(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))).alias("a"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("b"))
-    return F.exists(pairs, lambda p: (F.length(p["a"]) < 50) & (F.length(p["b"]) > F.length(p["a"])))
+    start = F.struct(F.lit(-1).alias("before"), F.lit(False).alias("hit"))
+
+    def step(acc: Column, line: Column) -> Column:
+        n = F.length(F.trim(line))
+        hit = acc["hit"] | (acc["before"].between(0, 49) & (n > acc["before"]))
+        return F.when(n == 0, acc).otherwise(F.struct(n.alias("before"), hit.alias("hit")))
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc["hit"])
 
 
 def structure_flags(df: DataFrame, text: str = "content") -> DataFrame:

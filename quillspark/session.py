@@ -49,6 +49,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a table comes in fewer scan partitions than there are cores.
+
+    Only inputs below one scan partition a core are shuffled, so what moves is bounded; larger tables stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _OWN_DIRS: dict[str, str] = {}
 
 
