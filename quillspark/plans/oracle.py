@@ -239,6 +239,16 @@ def oracle_sql() -> dict[str, str]:
         "S23_S24_folder_statistics": f"WITH {FILES} SELECT coalesce(file_extension, '') AS extension, count(DISTINCT file_id) AS files, max(len(file_path) - len(replace(file_path, '/', ''))) AS depth FROM fil GROUP BY 1",
         "K01_G26_folder_pattern": rf"WITH {FILES}, p AS (SELECT DISTINCT unnest(string_split(file_path, '/')) AS p FROM fil), c AS (SELECT count(*) FILTER (regexp_matches(p, '^(19|20)\d{{2}}$')) AS year_like, count(*) FILTER (regexp_matches(p, '^[A-Za-z_-]+$')) AS category_like FROM p WHERE p <> '') SELECT *, CASE WHEN year_like > category_like THEN 'time_first' ELSE 'category_first' END AS pattern FROM c",
         "G25_U05_distinct_categories": f"WITH {RESULTS} SELECT DISTINCT lower(trim(category)) AS category FROM res WHERE category IS NOT NULL",
+        "P01_file_validity": f"WITH {FILES} SELECT file_id, coalesce(file_size > 0 AND file_size <= 52428800 AND lower(file_extension) IN ('.pdf', '.txt', '.md', '.png', '.jpg', '.jpeg', '.tiff', '.bmp', '.gif'), false) AS valid FROM fil",
+        "P02_scanned": f"WITH {FILES} SELECT file_id, coalesce(content_length, 0) < coalesce(paragraph_count, 1) * 100 AS scanned FROM fil",
+        "X10_time_fallback": f"WITH {FILES} SELECT file_id, 'documents_' || coalesce(CAST(year(modification_date) AS VARCHAR), 'undated') AS category, 0.9::DOUBLE AS confidence FROM fil",
+        "M07_reference_categories": f"WITH {RESULTS} SELECT category, count(DISTINCT file_id) AS files FROM res WHERE confidence >= 0.7 AND category IS NOT NULL GROUP BY 1",
+        "U02_U04_merged_categories": "SELECT category FROM classification_results WHERE category IS NOT NULL UNION SELECT to_category FROM user_corrections WHERE to_category IS NOT NULL UNION SELECT subject FROM subject_areas WHERE subject < 'm'",
+        "G06_method_share": f"WITH {RESULTS} SELECT count(*) FILTER (method = 'ml_enhanced') AS enhanced, round(avg((method = 'ml_enhanced')::INT), 6) AS rate FROM res",
+        "T37_clean_settings": f"{corpus_cte()} SELECT doc_id, '[REDACTED]' AS key, CAST(template AS VARCHAR) AS home FROM corpus",
+        "T42_token_allowance": on_corpus("doc_id, CAST(greatest(ceil(ceil(len(t) / 2.7::DOUBLE) * 1.3::DOUBLE), 20) AS BIGINT) AS tokens"),
+        "S09_placeholder": on_corpus("doc_id, 'Document: ' || file_name || ', Size: ' || len(t) || ' bytes' AS text"),
+        "C13_fallback": on_corpus("doc_id, CASE WHEN content IS NULL THEN 'uncategorized' END AS category, CASE WHEN content IS NULL THEN 0.1::DOUBLE END AS confidence"),
         "G31_centroids": "SELECT label, i - 1 AS i, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i",
         "M04_M05_J10_nearest_reference": "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM e GROUP BY ALL), s AS (SELECT e.vec_id, c.label, round(sum(v * m) / sqrt(sum(v * v) * sum(m * m)), 9) AS s FROM e JOIN c USING (i) GROUP BY e.vec_id, c.label), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS k FROM s) SELECT vec_id, label AS nearest, round(s, 6) AS similarity, CASE WHEN s > 0.3 THEN round(greatest(0.4, least(0.9, s)), 6) ELSE 0.4 END AS confidence FROM r WHERE k = 1",
     }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.corpus import corpus
 from quillspark.operators import classify, clean, grade, history, planning, profile, security, temporal, vectors
 from quillspark.session import load
+from quillspark.sources import files as source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -189,5 +190,15 @@ def queries() -> dict[str, Query]:
         "G25_U05_distinct_categories": lambda s, d: results(s, d).select(F.lower(F.trim("category")).alias("category")).filter("category is not null").distinct(),
         "G31_centroids": lambda s, d: vectors.centroids(load(s, d, "embeddings"), "label").select("label", F.col("i").cast("bigint").alias("i"), F.round("mean", 6).alias("mean")),
         "M04_M05_J10_nearest_reference": lambda s, d: vectors.nearest_reference(load(s, d, "embeddings"), "label"),
+        "P01_file_validity": lambda s, d: files(s, d).select("file_id", F.coalesce((F.col("file_size") > 0) & (F.col("file_size") <= source.MAX_BYTES) & F.lower("file_extension").isin(*source.SUFFIXES), F.lit(False)).alias("valid")),
+        "P02_scanned": lambda s, d: files(s, d).select("file_id", (F.coalesce("content_length", F.lit(0)) < F.coalesce("paragraph_count", F.lit(1)) * source.CHARS_PER_PAGE).alias("scanned")),
+        "X10_time_fallback": lambda s, d: files(s, d).select("file_id", F.concat(F.lit("documents_"), F.coalesce(F.year("modification_date").cast("string"), F.lit("undated"))).alias("category"), F.lit(0.9).alias("confidence")),
+        "M07_reference_categories": lambda s, d: results(s, d).filter("confidence >= 0.7 and category is not null").groupBy("category").agg(F.count_distinct("file_id").alias("files")),
+        "U02_U04_merged_categories": lambda s, d: results(s, d).select("category").unionByName(load(s, d, "user_corrections").select(F.col("to_category").alias("category"))).unionByName(small_categories(s, d)).filter("category is not null").distinct(),
+        "G06_method_share": lambda s, d: results(s, d).agg(F.count_if(F.col("method") == "ml_enhanced").alias("enhanced"), F.round(F.avg((F.col("method") == "ml_enhanced").cast("double")), 6).alias("rate")),
+        "T37_clean_settings": on_corpus(lambda c: c.select("doc_id", security.clean_settings(F.create_map(F.lit("MY_API_KEY"), "file_name", F.lit("home"), F.col("template").cast("string"))).alias("m")).select("doc_id", F.element_at("m", "MY_API_KEY").alias("key"), F.element_at("m", "home").alias("home"))),
+        "T42_token_allowance": on_corpus(lambda c: c.select("doc_id", F.greatest(F.ceil(F.ceil(F.length(text()) / 2.7) * 1.3), F.lit(20)).cast("bigint").alias("tokens"))),
+        "S09_placeholder": on_corpus(lambda c: c.select("doc_id", source.placeholder(F.col("file_name"), F.length(text())).alias("text"))),
+        "C13_fallback": on_corpus(lambda c: c.select("doc_id", F.when(F.col("content").isNull(), "uncategorized").alias("category"), F.when(F.col("content").isNull(), 0.1).alias("confidence"))),
         "M02_M03_clusters": lambda s, d: vectors.clusters(load(s, d, "embeddings")),
     }

@@ -9,7 +9,7 @@ import pytest
 
 from quillspark.plans import oracle, reference, training
 
-ONE_ROW = {"S25_log_statistics", "G03_G04_quality", "G12_overall_season", "G13_G14_fiscal_inference", "W01_density", "X04_X08_span", "G20_recent_average", "G21_W04_learning_metrics", "K03_G24_structure", "K01_G26_folder_pattern"}
+ONE_ROW = {"S25_log_statistics", "G03_G04_quality", "G12_overall_season", "G13_G14_fiscal_inference", "W01_density", "X04_X08_span", "G20_recent_average", "G21_W04_learning_metrics", "K03_G24_structure", "K01_G26_folder_pattern", "G06_method_share"}
 EMPTY_AT_THIS_SIZE = {"L10_paged_sessions", "J05_S15_unprocessed"}
 
 
