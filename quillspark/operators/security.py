@@ -18,10 +18,23 @@ INJECTION = (
     r"system\s*:\s*",
     r"assistant\s*:\s*",
     r"user\s*:\s*",
+    r"execute\s+(?:command|code|script)",
+    r"run\s+(?:command|code|script)",
     r"eval\s*\(",
     r"exec\s*\(",
+    r"subprocess\.",
+    r"os\.system",
+    r"print\s+(?:api|key|token|secret)",
+    r"output\s+(?:api|key|token|secret)",
+    r"reveal\s+(?:api|key|token|secret)",
+    r"show\s+(?:api|key|token|secret)",
+    r"```\s*(?:python|bash|sh|cmd)",
     r"<script[^>]*>",
     r"javascript:",
+    r"you\s+are\s+(?:now|a)\s+(?:hacker|admin|root)",
+    r"act\s+as\s+(?:if\s+you\s+are\s+)?(?:a|an|)\s*(?:hacker|admin|root|administrator)",
+    r"pretend\s+(?:to\s+be|you\s+are)",
+    r"act\s+like\s+(?:a|an)\s+(?:hacker|admin|root)",
 )
 SCRIPTS = (r"<script[^>]*>.*?</script>", "javascript:", "vbscript:", "data:text/html", r"eval\s*\(", r"exec\s*\(")
 DANGEROUS = (r"<script.*?>.*?</script>", "javascript:", "data:.*base64,", r"on\w+\s*=", r"expression\s*\(", r"@import\s+", r"\\x[0-9a-fA-F]{2}", "%[0-9a-fA-F]{2}")
