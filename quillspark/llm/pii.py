@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_TEXTS = 20_000  # bound of the texts from which the gazetteer of names is learned
-MAX_NAMES = 200_000  # bound of the gazetteer sent to the workers, most frequent first; its entries are single words
-MIN_GIVEN, MIN_SURNAME = 3, 2
+from quillspark.session import materialise
+
+MAX_NAMES = 200_000  # bound of the gazetteer sent to the workers, most frequent first; rarer name parts are looked up by a join
 
 # Forms of electronic and postal addresses, telephone and identity numbers.
 AT = r"(?:@|\s?[\[(]\s?at\s?[\])]\s?)"
@@ -52,29 +52,26 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|Sra?|Srta|Sig|Dott)\.?"
 TITLE_WORD = re.compile(rf"{TITLES}$")
 NAME = r"[A-ZÀ-Þ][a-zà-ÿ]+"
-GIVEN_FIRST = re.compile(
-    rf"(?:\b{TITLES}\s({NAME})\s(?:[A-Z]\.\s)?({NAME})"
-    rf"|(?<![\w])({NAME})\s(?:[A-Z]\.\s)?({NAME})(?=\s*(?:,|\(|;|\||\t|\s{{2,}}|\.{{3,}})\s*\(*(?:[+0]\d|\(?\d{{3}}\)?[ .\-]\d{{3}}[ .\-]|[\w.+\-]+{AT}))"
-    rf"|(?<![\w])({NAME})\s(?:[A-Z]\.\s)?({NAME})(?=,?\s(?:has\sasked|lives\sat|residing|habite|vive\sen|abita|mora\sn|wohnt)))"
-)
-SURNAME_FIRST = re.compile(rf"\b{TITLES}\s({NAME}),\s({NAME})")
+CONTACT = rf"\s*(?:,|\(|;|\||\t|\s{{2,}}|\.{{3,}})\s*\(*(?:[+0]\d|\(?\d{{3}}\)?[ .\-]\d{{3}}[ .\-]|[\w.+\-]+{AT})"
+ACTION = r",?\s(?:has\sasked|lives\sat|residing|habite|vive\sen|abita|mora\sn|wohnt)"
+# The look-ahead for a capital comes first, since most places fail there.
+GIVEN_FIRST = re.compile(rf"(?=[A-ZÀ-Þ])\b(?:(?=[MDPHFS])({TITLES})\s)?({NAME}+)\s((?:[A-Z]\.\s)?({NAME}+))(?(1)|(?={CONTACT}|{ACTION}))")
+SURNAME_FIRST = re.compile(rf"(?=[MDPHFS])\b{TITLES}\s({NAME}),\s({NAME})")
 PART = re.compile(r"[A-ZÀ-Þ][A-Za-zÀ-ÿ]+|\b[A-Z]\.")
 
 
 def learn_names(text: str, given: Counter, surname: Counter) -> None:
     """Count the name parts in the unambiguous places of a text."""
     for m in GIVEN_FIRST.finditer(text):
-        g = m.groups()
-        a, b = next((g[i], g[i + 1]) for i in (0, 2, 4) if g[i])
-        given[a] += 1
-        surname[b] += 1
+        given[m.group(2)] += 1
+        surname[m.group(4)] += 1
     for m in SURNAME_FIRST.finditer(text):
         surname[m.group(1)] += 1
         given[m.group(2)] += 1
 
 
 def persons(text: str, given: frozenset[str], surname: frozenset[str]) -> list[tuple[int, int]]:
-    """Spans of given name or initials with surname, or surname, given name."""
+    """Spans of given name or initials with surname, or surname, given name; also the unambiguous mentions themselves."""
     parts = [(m.start(), m.end(), m.group()) for m in PART.finditer(text)]
     out, i, n = [], 0, len(parts)
 
@@ -105,7 +102,11 @@ def persons(text: str, given: frozenset[str], surname: frozenset[str]) -> list[t
                     i = j + 1
                     continue
         i += 1
-    return out
+    for m in GIVEN_FIRST.finditer(text):
+        a, b = m.start(3 if TITLE_WORD.match(m.group(2)) else 2), m.end(4)
+        if a < m.start(4) and all(b <= s or a >= e for s, e in out):
+            out.append((a, b))
+    return sorted(out)
 
 
 def entities(text: str, given: frozenset[str], surname: frozenset[str]) -> list[tuple[int, int, str]]:
@@ -205,25 +206,74 @@ def replace(text: str, given: frozenset[str], surname: frozenset[str], key: byte
     return "".join(holders), "".join(surrogates), [(k, text[a:b]) for a, b, k in spans]
 
 
-def gazetteer(texts: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> tuple[frozenset[str], frozenset[str]]:
-    """(given names, surnames) seen in unambiguous places of a bounded sample of the texts."""
-    total = max(1, texts.select("file_id").count())
-    near = F.pmod(F.xxhash64("file_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_texts / total))
+class Widened:
+    """A set and a few words more, without copying the set."""
+
+    def __init__(self, words: frozenset[str], more: list[str]):
+        self.words, self.more = words, frozenset(more)
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.words or word in self.more
+
+
+def name_table(texts: DataFrame) -> DataFrame:
+    """(word, role, n) of every name part in an unambiguous place of any text; a word has the role in which it is seen more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given, surname = Counter(), Counter()
         for b in batches:
             for t in b.column("text").to_pylist():
                 learn_names(t, given, surname)
-        rows = [("g", w, n) for w, n in given.items()] + [("s", w, n) for w, n in surname.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["role", "word", "n"])
+            if len(given) + len(surname) > 1_000_000:
+                yield emit(given, surname)
+                given.clear()
+                surname.clear()
+        yield emit(given, surname)
+
+    def emit(given: Counter, surname: Counter) -> pa.RecordBatch:
+        rows = [(w, given[w], surname[w]) for w in {*given, *surname} if not TITLE_WORD.match(w)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], ["word", "g", "s"])
+
+    counted = texts.select("text").filter("text is not null").mapInArrow(run, "word string, g bigint, s bigint").groupBy("word").agg(F.sum("g").alias("g"), F.sum("s").alias("s"))
+    return counted.select("word", F.when(F.col("g") >= F.col("s"), "g").otherwise("s").alias("role"), F.greatest("g", "s").alias("n"))
+
+
+def with_names(texts: DataFrame, names: tuple[frozenset[str], frozenset[str]] | None, most: int = MAX_NAMES) -> tuple[DataFrame, tuple[frozenset[str], frozenset[str]]]:
+    """(texts with the columns more_given and more_surname, (given names, surnames) for the broadcast).
+
+    The most frequent name parts are broadcast. Where there are more, the capitalised words of each text are joined with
+    the table of the rest, and what is found travels beside the text.
+    """
+    none = F.array().cast("array<string>")
+    plain = texts.withColumns({"more_given": none, "more_surname": none})
+    if names is not None:
+        return plain, names
+    table = materialise(name_table(texts), "names")
+    top = table.orderBy(F.desc("n"), "word").limit(most).collect()
+    given, surname = (frozenset(r.word for r in top if r.role == role) for role in "gs")
+    if len(top) < most:
+        return plain, (given, surname)
+    last = top[-1]
+    rest = table.filter((F.col("n") < last.n) | (F.col("n") == last.n) & (F.col("word") > last.word)).select("word", "role")
+    shared = texts.sparkSession.sparkContext.broadcast(given | surname)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, t in zip(b.column("text_key").to_pylist(), b.column("text").to_pylist()):
+                rows += [(k, w) for w in {m.group().capitalize() for m in PART.finditer(t)} - shared.value]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["text_key", "word"])
+
+    keyed = texts.withColumn("text_key", F.sha2("text", 256))
+    found = keyed.select("text_key", "text").filter("text is not null").mapInArrow(run, "text_key string, word string").distinct().join(rest, "word")
+    more = found.groupBy("text_key").agg(*[F.collect_set(F.when(F.col("role") == r, F.col("word"))).alias(c) for r, c in (("g", "more_given"), ("s", "more_surname"))])
+    return keyed.join(more, "text_key", "left").drop("text_key"), (given, surname)
+
 
-    counted = texts.select("text", "file_id").filter(near).select("text").mapInArrow(run, "role string, word string, n bigint").groupBy("role", "word").agg(F.sum("n").alias("n"))
-    rows = counted.filter(F.col("n") >= F.when(F.col("role") == "g", MIN_GIVEN).otherwise(MIN_SURNAME)).orderBy(F.desc("n"), "role", "word").limit(MAX_NAMES).collect()
-    n = {(r.role, r.word): r.n for r in rows}
-    given = {w for (role, w), c in n.items() if role == "g" and c >= n.get(("s", w), 0) and not TITLE_WORD.match(w)}
-    surname = {w for (role, w), c in n.items() if role == "s" and c > n.get(("g", w), 0)}
-    return frozenset(given), frozenset(surname)
+def widened(batch: pa.RecordBatch, names: tuple[frozenset[str], frozenset[str]]) -> Iterator[tuple]:
+    """(file_id, text, given names, surnames) of the rows of a batch."""
+    for i, t, g, s in zip(*[batch.column(c).to_pylist() for c in ("file_id", "text", "more_given", "more_surname")]):
+        yield (i, t, Widened(names[0], g), Widened(names[1], s)) if g or s else (i, t, *names)
 
 
 def find_entities(texts: DataFrame, names: tuple[frozenset[str], frozenset[str]] | None = None) -> DataFrame:
@@ -232,17 +282,16 @@ def find_entities(texts: DataFrame, names: tuple[frozenset[str], frozenset[str]]
     texts: (file_id, text); further columns are ignored. Null and empty texts give no row, repeated rows count once.
     names: (given names, surnames); learned from the texts if not given.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(names or gazetteer(texts))
+    source, listed = with_names(texts.select("file_id", "text").filter("file_id is not null and text is not null"), names)
+    shared = texts.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, surname = shared.value
         for b in batches:
             rows = []
-            for i, t in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist()):
+            for i, t, given, surname in widened(b, shared.value):
                 rows += {(i, k, t[a:e]) for a, e, k in entities(t, given, surname)}
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.string(), pa.string()))], ["file_id", "kind", "found_text"])
 
-    source = texts.select("file_id", "text").filter("file_id is not null and text is not null")
     return source.mapInArrow(run, "file_id bigint, kind string, found_text string").distinct()
 
 
@@ -253,12 +302,12 @@ def redact(texts: DataFrame, key: str = "quill", names: tuple[frozenset[str], fr
     input row. The same entity has the same surrogate in every document under one key, except where a collision within a
     document forced the next one.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(names or gazetteer(texts))
+    source, listed = with_names(texts.select("file_id", "text"), names)
+    shared = texts.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, surname = shared.value
         for b in batches:
-            rows = [(None, None) if t is None else replace(t, given, surname, key.encode())[:2] for t in b.column("text").to_pylist()]
+            rows = [(None, None) if t is None else replace(t, given, surname, key.encode())[:2] for _, t, given, surname in widened(b, shared.value)]
             yield pa.RecordBatch.from_arrays([b.column("file_id").cast(pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["file_id", "redacted", "surrogated"])
 
-    return texts.select("file_id", "text").mapInArrow(run, "file_id bigint, redacted string, surrogated string")
+    return source.mapInArrow(run, "file_id bigint, redacted string, surrogated string")

@@ -88,6 +88,28 @@ def test_redacting_edges(spark):
     assert pii.find_entities(d.limit(0), (GIVEN, SURNAME)).count() == 0
 
 
+def test_names_seen_once_and_unambiguous_mentions(spark):
+    rows = [(1, "Dear Mr Tavo Brenwick, we thank you."), (2, "Signed by Tavo Brenwick on Monday."), (3, "Ms Elin Q. Sorvath and Mrs U. Dalk, residing here."), (4, "Then Elin Sorvath left Sorvath Stores.")]
+    d = spark.createDataFrame(rows, "file_id bigint, text string")
+    want = {(1, "Tavo Brenwick"), (2, "Tavo Brenwick"), (3, "Elin Q. Sorvath"), (3, "U. Dalk"), (4, "Elin Sorvath")}
+    assert {(r.file_id, r.found_text) for r in pii.find_entities(d.unionByName(d)).collect()} == want
+    assert pii.persons("Mr Tavo Brenwick and Tavo Brenwick", frozenset(), frozenset()) == [(3, 16)]
+    redacted = {r.file_id: r.redacted for r in pii.redact(d).collect()}
+    assert redacted[2] == "Signed by [PERSON_1] on Monday."
+
+
+def test_names_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    rows = [(1, "Mr Tavo Brenwick, Ms Elin Sorvath, Dr Elin Sorvath"), (2, "By Tavo Brenwick."), (3, "By Brenwick, Tavo."), (4, None), (5, "By ELIN SORVATH.")]
+    d = spark.createDataFrame(rows, "file_id bigint, text string")
+    want = {(r.file_id, r.found_text) for r in pii.find_entities(d).collect()}
+    assert {(2, "Tavo Brenwick"), (3, "Brenwick, Tavo"), (5, "ELIN SORVATH")} <= want
+    whole = {tuple(r) for r in pii.redact(d).collect()}
+    for most in (1, 3):
+        monkeypatch.setattr(pii.with_names, "__defaults__", (most,))
+        assert {(r.file_id, r.found_text) for r in pii.find_entities(d).collect()} == want
+        assert {tuple(r) for r in pii.redact(d).collect()} == whole
+
+
 def test_perfect_hash():
     keys = {f"key{i}".encode(): i for i in range(2000)}
     t = MinimalPerfectHash(keys)
