@@ -42,6 +42,7 @@ ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|er|e|re|a|o|x|h|b)?$|^[a-z]{1,4}\d+$|^
 
 TOP_WORDS = 300_000  # bound of the word frequencies sent to the workers; rarer words are looked up by a join
 MIN_COUNT = 2
+MEMO = 300_000  # bound of the remembered decisions of a worker
 CONFUSION_COST = 2.5
 NAME_COST = 0.7
 UNKNOWN_COST = 4.0
@@ -50,7 +51,10 @@ MERGE_COST = 7.0
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) of every word of all texts, pre-aggregated in the tasks; words cut by a line end are left out."""
+    """(word, n) of every word of all distinct texts, pre-aggregated in the tasks; words cut by a line end are left out.
+
+    Deliveries and copies of a text count once, so that a misread word does not become common by being copied.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
@@ -68,7 +72,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         words = [w for w in count if len(w) > 1 and not DIGIT.search(w) and len(w) < 40]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([count[w] for w in words], pa.int64())], ["word", "n"])
 
-    return texts.select("text").filter("text is not null").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").filter("text is not null").distinct().mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def readings(word: str, most: int = 2) -> dict[str, int]:
@@ -94,6 +98,7 @@ class Lexicon:
 
     def __init__(self, counts: dict[str, int], total: int):
         self.counts, self.log_total = counts, math.log(max(2, total))
+        self.memo: dict[tuple[str, bool], tuple[str, list[str]] | None] = {}
 
     def cost(self, word: str) -> float:
         n = self.counts.get(word, 0)
@@ -177,17 +182,26 @@ def joined_word(left: str, mark: str, right: str, lex: Lexicon) -> tuple[str, li
 
 def misread(token: str, lex: Lexicon) -> tuple[str, list[str]] | None:
     """(word meant, forms still to be looked up) if a token is taken for misread, else None."""
-    word = token.lower().strip(EDGE)
+    key = (token.lower().strip(EDGE), token[:1].isupper() and not token.isupper())
+    if key not in lex.memo:
+        if len(lex.memo) >= MEMO:
+            lex.memo.clear()
+        lex.memo[key] = misread_word(*key, lex)
+    return lex.memo[key]
+
+
+def misread_word(word: str, capital: bool, lex: Lexicon) -> tuple[str, list[str]] | None:
+    """misread() of a bare word in lower case; a known word is misread only if a reading is common enough against it."""
     if len(word) < 2 or len(word) > 40 or "/" in word or ORDINAL.match(word) or sum(c.isdigit() for c in word) > 3:
         return None
     if "@" in word and ("." in word.partition("@")[2] or word[0] == "@" and not lex.counts.get("a" + word[1:])):
         return None
     sure = SURE.match(word) is not None
-    if not sure and (DIGIT.search(word) or word in lex.counts and lex.counts[word] > 2000):
+    if not sure and DIGIT.search(word):
         return None
     if not any(seen in word for seen in CONFUSIONS):
         return None
-    best = lex.best_reading(word, token[:1].isupper() and not token.isupper())
+    best = lex.best_reading(word, capital)
     here = lex.cost(word) if not sure else lex.log_total + UNKNOWN_COST + 6
     if best is not None and best[0] < here:
         return best[1], []
@@ -250,8 +264,6 @@ def faults(text: str, lex: Lexicon) -> list[tuple[int, str, str, list[str]]]:
             if k == len(tokens) - 1 and i in cut_left or k == 0 and i in cut_right:
                 continue
             w = t.lower().strip(EDGE)
-            if w in lex.counts and lex.counts[w] > 2000:
-                continue
             found = misread(t, lex)
             if found and (letters_too or DIGIT.search(w) or "@" in w):
                 out.append((i + 1, "misread", *found))

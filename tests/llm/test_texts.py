@@ -157,3 +157,14 @@ def test_repair(lex):
 
 def test_words_split_and_merged(lex):
     assert scans.split_or_merged(["thecommittee", "has", "inv", "oice"], lex) == ["the", "committee", "has", "invoice"]
+
+
+def test_misread_words_do_not_depend_on_size_or_copies(spark, lex):
+    for times in (1, 1000):
+        large = scans.Lexicon({w: n * times for w, n in lex.counts.items()} | {"period": 500 * times, "pcriod": 5 * times}, 20_000 * times)
+        assert scans.misread("pcriod", large) == ("period", [])
+    wide = SCAN.replace("rec0rds room", "pcriod room")
+    plain = " ".join(["the period"] * 60)
+    rows = [(1, plain), (2, wide), (3, wide)] + [(i, wide) for i in range(4, 300)]
+    found = scans.scan_faults(spark.createDataFrame(rows, "file_id bigint, text string"))
+    assert {r.file_id for r in found.filter("kind = 'misread' and fixed = 'period'").collect()} == set(range(2, 300))
