@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,13 +93,50 @@ def readings(word: str, most: int = 2) -> dict[str, int]:
     return out
 
 
+class Recorder(dict):
+    """Word frequencies that note which words were asked for in vain."""
+
+    missed: set[str]
+
+    def get(self, word, default=None):
+        if word not in self:
+            return default
+        return self[word]
+
+    def __contains__(self, word):
+        found = super().__contains__(word)
+        if not found and 1 < len(word) < 40:
+            self.missed.add(word)
+        return found
+
+
 class Lexicon:
-    """Costs of words under the corpus frequencies."""
+    """Costs of words under the corpus frequencies.
 
-    def __init__(self, counts: dict[str, int], total: int):
-        self.counts, self.log_total = counts, math.log(max(2, total))
+    cut: there are more words of MIN_COUNT than counts has. rare: what the join found on words outside counts, for a text.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int, cut: bool = False, rare: dict[str, int] | None = None):
+        self.counts, self.log_total, self.cut, self.rare = counts, math.log(max(2, total)), cut, rare
         self.memo: dict[tuple[str, bool], tuple[str, list[str]] | None] = {}
 
+    def recorder(self) -> Lexicon:
+        """The same frequencies, with note of the words that are missing."""
+        other = Lexicon(Recorder(self.counts), 2)
+        other.log_total, other.counts.missed = self.log_total, set()
+        return other
+
+    def widened(self, rare: dict[str, int]) -> Lexicon:
+        """With the rarer words of a text; those seen only once decide between open forms and nothing else."""
+        more = {w: n for w, n in rare.items() if n >= MIN_COUNT}
+        other = Lexicon(ChainMap(more, self.counts) if more else self.counts, 2, False, rare)
+        other.log_total = self.log_total
+        return other
+
+    def decide(self, fixed: str, forms: list[str]) -> str:
+        """The most frequent of the open forms, the first guess where none was ever seen."""
+        return max(forms, key=lambda w: (self.rare.get(w, 0), w == fixed)) if forms and self.rare else fixed
+
     def cost(self, word: str) -> float:
         n = self.counts.get(word, 0)
         return self.log_total - math.log(n) if n else self.log_total + UNKNOWN_COST
@@ -319,7 +356,7 @@ def repair(text: str, lex: Lexicon) -> str:
         fixed = []
         for t in split_or_merged(middle, lex):
             found = misread(t, lex)
-            fixed.append(t if not found else dress(t, found[0]))
+            fixed.append(t if not found else dress(t, lex.decide(*found)))
         if carried is not None:
             fixed.insert(0, carried)
             carried = None
@@ -327,7 +364,7 @@ def repair(text: str, lex: Lexicon) -> str:
             j = cut[i]
             left, mark, right = halves(scan, i, j)
             head, tail = last[:-1], scan.bare[j].split()[0]
-            whole = dress(head + tail, joined_word(left, mark, right, lex)[0])
+            whole = dress(head + tail, lex.decide(*joined_word(left, mark, right, lex)))
             if len(scan.bare[j].split()) == 1 and j in cut:
                 fixed.append(whole)
             else:
@@ -357,53 +394,89 @@ def dress(token: str, word: str) -> str:
     return token[:at] + made + token[at + len(core) :]
 
 
-FAULTS_SCHEMA = "file_id bigint, line_no bigint, kind string, fixed string, forms array<string>"
-
-
 def shared_lexicon(texts: DataFrame) -> tuple[DataFrame, Lexicon]:
     """(table of all words, the TOP_WORDS most frequent of at least MIN_COUNT)."""
     table = materialise(word_counts(texts), "words")
     total = table.agg(F.sum("n")).collect()[0][0] or 1
     top = table.filter(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "word").limit(TOP_WORDS).toPandas()
-    return table, Lexicon(dict(zip(top.word, top.n.tolist())), int(total))
+    return table, Lexicon(dict(zip(top.word, top.n.tolist())), int(total), len(top) >= TOP_WORDS)
 
 
-def scan_faults(texts: DataFrame) -> DataFrame:
-    """(file_id, line_no, kind, fixed) of every fault in texts that went through a scanner.
+def wanted(text: str, forms: list[list[str]], lex: Lexicon, recorder: Lexicon | None) -> list[str]:
+    """The words whose frequency a text needs besides the shared ones: open forms, and every word missed where there are more."""
+    words = {w for f in forms for w in f}
+    if recorder is not None:
+        recorder.counts.missed.clear()
+        recorder.memo.clear()
+        faults(text, recorder)
+        repair(text, recorder)
+        words |= recorder.counts.missed
+    return sorted(words)
 
-    texts: (file_id, text); further columns are ignored. Scans are told by their layout: lines of bounded width with page
-    furniture or words broken at line ends. Null and empty texts give no row, repeated rows count once, empty tables give
-    an empty result. Words outside the shared frequencies are decided by a join with the table of all words.
+
+def decoded(texts: DataFrame, make: Callable[[str, Lexicon], list[tuple]], columns: str) -> DataFrame:
+    """(file_id, columns) of make(text, lexicon) for every text; null texts give one row of nulls.
+
+    Texts for which the shared frequencies are enough are done at once. The others wait, their missing words are joined
+    with the table of all words, and they are done with what was found; only they are shuffled.
     """
     table, lexicon = shared_lexicon(texts)
     shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+    schema = pa.schema([("file_id", pa.int64()), *((c.split()[0], {"bigint": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in columns.split(", "))])
+    waiting = pa.schema([*schema, ("text", pa.string()), ("wanted", pa.list_(pa.string()))])
+
+    def batch(rows: list[tuple], names: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(names)], schema=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
+        recorder = lex.recorder() if lex.cut else None
+        none = (None,) * (len(schema) - 1)
         for b in batches:
             rows = []
             for i, t in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist()):
-                if maybe_scanned(t):
-                    rows += [(i, *f) for f in faults(t, lex)]
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["file_id", "line_no", "kind", "fixed", "forms"])
+                if t is None:
+                    rows.append((i, *none, None, None))
+                    continue
+                words = wanted(t, [f[3] for f in faults(t, lex)], lex, recorder) if maybe_scanned(t) else []
+                rows += [(i, *none, t, words)] if words else [(i, *r, None, None) for r in make(t, lex)]
+            yield batch(rows, waiting)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t, found in zip(*[b.column(c).to_pylist() for c in ("file_id", "text", "found")]):
+                lex = shared.value.widened({x["word"]: x["n"] for x in found or []})
+                rows += [(i, *r) for r in make(t, lex)]
+            yield batch(rows, schema)
+
+    names = f"file_id bigint, {columns}"
+    first = materialise(texts.select("file_id", "text").mapInArrow(run, f"{names}, text string, wanted array<string>"), "decoded")
+    late = first.filter("text is not null").select("file_id", "text", "wanted", F.sha2("text", 256).alias("text_key"))
+    found = late.select("text_key", F.explode("wanted").alias("word")).distinct().join(table, "word").groupBy("text_key").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    second = late.select("file_id", "text", "text_key").join(found, "text_key", "left").select("file_id", "text", "found").mapInArrow(again, names)
+    return first.filter("text is null").drop("text", "wanted").unionByName(second)
+
+
+def scan_faults(texts: DataFrame) -> DataFrame:
+    """(file_id, line_no, kind, fixed) of every fault in texts that went through a scanner.
 
-    found = materialise(texts.select("file_id", "text").filter("file_id is not null and text is not null").mapInArrow(run, FAULTS_SCHEMA), "faults")
-    key = ["file_id", "line_no", "kind", "fixed"]
-    sure = found.filter(F.size("forms") == 0).select(*key)
-    rare = found.filter(F.size("forms") > 0).withColumn("form", F.explode("forms")).join(table.select(F.col("word").alias("form"), "n"), "form", "left")
-    decided = rare.groupBy(*key).agg(F.max_by("form", F.struct(F.coalesce("n", F.lit(0)), F.col("form") == F.col("fixed"))).alias("form"))
-    return sure.unionByName(decided.select("file_id", "line_no", "kind", F.col("form").alias("fixed"))).distinct()
+    texts: (file_id, text); further columns are ignored. Scans are told by their layout: lines of bounded width with page
+    furniture or words broken at line ends. Null and empty texts give no row, repeated rows count once, empty tables give
+    an empty result. Words outside the shared frequencies are decided by a join with the table of all words.
+    """
+
+    def make(text: str, lex: Lexicon) -> list[tuple]:
+        return [f[:2] + (lex.decide(f[2], f[3]),) for f in faults(text, lex)] if maybe_scanned(text) else []
+
+    source = texts.filter("file_id is not null and text is not null")
+    return decoded(source, make, "line_no bigint, kind string, fixed string").distinct()
 
 
 def repaired_texts(texts: DataFrame) -> DataFrame:
     """(file_id, repaired): each text that is a scan as continuous paragraphs; other texts unchanged. One row an input row."""
-    _, lexicon = shared_lexicon(texts)
-    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fixed = [t if t is None or not maybe_scanned(t) else repair(t, shared.value) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("file_id").cast(pa.int64()), pa.array(fixed, pa.string())], ["file_id", "repaired"])
+    def make(text: str, lex: Lexicon) -> list[tuple]:
+        return [(repair(text, lex) if maybe_scanned(text) else text,)]
 
-    return texts.select("file_id", "text").mapInArrow(run, "file_id bigint, repaired string")
+    return decoded(texts, make, "repaired string")

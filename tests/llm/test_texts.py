@@ -168,3 +168,18 @@ def test_misread_words_do_not_depend_on_size_or_copies(spark, lex):
     rows = [(1, plain), (2, wide), (3, wide)] + [(i, wide) for i in range(4, 300)]
     found = scans.scan_faults(spark.createDataFrame(rows, "file_id bigint, text string"))
     assert {r.file_id for r in found.filter("kind = 'misread' and fixed = 'period'").collect()} == set(range(2, 300))
+
+
+RARE = "ACME WATER TRUST — REPORT\n\nThe committee has asked about the quill-\nboard and the forms of the zarn6odal\nrecords of the pcriad that was kept in it.\n\nPage 2 / 2"
+
+
+@pytest.mark.parametrize("top", [300_000, 12])
+def test_rare_words_are_decided_by_the_join_in_both_queries(spark, monkeypatch, top):
+    monkeypatch.setattr(scans, "TOP_WORDS", top)
+    common = " ".join(["the committee has asked about of and forms records that was kept in it"] * 9)
+    rows = [(1, RARE), (2, common), (3, "a quill-board here"), (4, "the zarnbodal"), (5, "a periad, " * 40)]
+    d = spark.createDataFrame(rows, "file_id bigint, text string")
+    found = {(r.kind, r.fixed) for r in scans.scan_faults(d.unionByName(d)).collect() if r.kind != "furniture"}
+    assert found == {("hyphen", "quill-board"), ("misread", "zarnbodal"), ("misread", "periad")}
+    repaired = {r.file_id: r.repaired for r in scans.repaired_texts(d).collect()}
+    assert "the quill-board and" in repaired[1] and "the zarnbodal records of the periad that" in repaired[1] and repaired[2] == common
