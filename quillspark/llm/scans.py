@@ -13,6 +13,7 @@ import math
 import re
 from collections import ChainMap, Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,7 +70,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         yield from emit(count)
 
     def emit(count: Counter) -> Iterator[pa.RecordBatch]:
-        words = [w for w in count if len(w) > 1 and not DIGIT.search(w) and len(w) < 40]
+        words = [w for w in count if w and not DIGIT.search(w) and len(w) < 40]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([count[w] for w in words], pa.int64())], ["word", "n"])
 
     return texts.select("text").filter("text is not null").distinct().mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -105,7 +106,7 @@ class Recorder(dict):
 
     def __contains__(self, word):
         found = super().__contains__(word)
-        if not found and 1 < len(word) < 40:
+        if not found and 0 < len(word) < 40:
             self.missed.add(word)
         return found
 
@@ -118,7 +119,8 @@ class Lexicon:
 
     def __init__(self, counts: dict[str, int], total: int, cut: bool = False, rare: dict[str, int] | None = None):
         self.counts, self.log_total, self.cut, self.rare = counts, math.log(max(2, total)), cut, rare
-        self.memo: dict[tuple[str, bool], tuple[str, list[str]] | None] = {}
+        self.memo: dict[tuple[str, bool], tuple[float, tuple[str, list[str]] | None]] = {}
+        self.read: dict[tuple[str, bool], tuple[float, str] | None] = {}
 
     def recorder(self) -> Lexicon:
         """The same frequencies, with note of the words that are missing."""
@@ -143,12 +145,18 @@ class Lexicon:
 
     def best_reading(self, word: str, capital: bool = False) -> tuple[float, str] | None:
         """The cheapest known printed form of a word, if it is not the word as read."""
+        key = (word, bool(capital))
+        if key in self.read:
+            return self.read[key]
+        if len(self.read) >= MEMO:
+            self.read.clear()
         best = None
         for made, k in readings(word).items():
-            if made in self.counts:
+            if len(made) > 1 and made in self.counts:
                 c = self.cost(made) + k * (CONFUSION_COST + NAME_COST * capital)
                 if best is None or (c, made) < best:
                     best = (c, made)
+        self.read[key] = best
         return best
 
 
@@ -219,92 +227,155 @@ def joined_word(left: str, mark: str, right: str, lex: Lexicon) -> tuple[str, li
 
 def misread(token: str, lex: Lexicon) -> tuple[str, list[str]] | None:
     """(word meant, forms still to be looked up) if a token is taken for misread, else None."""
+    return single(token, lex)[1]
+
+
+def single(token: str, lex: Lexicon) -> tuple[float, tuple[str, list[str]] | None]:
+    """(cost, misread(token)) of the cheaper of a token as read and as misread; what is no word costs nothing as read."""
     key = (token.lower().strip(EDGE), token[:1].isupper() and not token.isupper())
     if key not in lex.memo:
         if len(lex.memo) >= MEMO:
             lex.memo.clear()
-        lex.memo[key] = misread_word(*key, lex)
+        lex.memo[key] = single_word(*key, lex)
     return lex.memo[key]
 
 
-def misread_word(word: str, capital: bool, lex: Lexicon) -> tuple[str, list[str]] | None:
-    """misread() of a bare word in lower case; a known word is misread only if a reading is common enough against it."""
+def single_word(word: str, capital: bool, lex: Lexicon) -> tuple[float, tuple[str, list[str]] | None]:
+    """single() of a bare word in lower case; a known word is misread only if a reading is common enough against it."""
+    plain = (lex.cost(word) if word.isalpha() else 0.0), None
     if len(word) < 2 or len(word) > 40 or "/" in word or ORDINAL.match(word) or sum(c.isdigit() for c in word) > 3:
-        return None
+        return plain
     if "@" in word and ("." in word.partition("@")[2] or word[0] == "@" and not lex.counts.get("a" + word[1:])):
-        return None
+        return plain
     sure = SURE.match(word) is not None
     if not sure and DIGIT.search(word):
-        return None
+        return plain
     if not any(seen in word for seen in CONFUSIONS):
-        return None
+        return plain
     best = lex.best_reading(word, capital)
     here = lex.cost(word) if not sure else lex.log_total + UNKNOWN_COST + 6
     if best is not None and best[0] < here:
-        return best[1], []
+        return best[0], (best[1], [])
     if sure and len(word) >= 5 and sum(c.isalpha() for c in word) >= 4 and sum(not c.isalpha() for c in word) == 1:
         forms = [w for w, k in readings(word, 1).items() if w.isalpha()]
         if forms:
-            return forms[0], forms
-    return None
+            return here, (forms[0], forms)
+    return (here if sure else plain[0]), None
 
 
 def split_or_merged(tokens: list[str], lex: Lexicon) -> list[str]:
-    """The cheapest path over the words of a line: as read, misread, split in two, or merged with the next word."""
-    plain = [t.lower().strip(EDGE) for t in tokens]
-    if all(p in lex.counts or not p.isalpha() for p in plain):
-        return tokens
+    """The words of a line on the cheapest path."""
+    return [w for edge in cheapest(tokens, [False] * len(tokens), lex) for w in edge.words]
+
+
+class Edge(NamedTuple):
+    """A word hypothesis over tokens first to last - 1: the printed words, and (word meant, open forms) of the misread ones."""
+
+    first: int
+    last: int
+    words: list[str]
+    misread: list[tuple[str, list[str]]]
+    hyphen: bool = False
+
+
+def alone(i: int, token: str, lex: Lexicon) -> tuple[float, Edge]:
+    cost, found = single(token, lex)
+    return cost, Edge(i, i + 1, [dress(token, lex.decide(*found)) if found else token], [found] if found else [])
+
+
+def known_as(word: str, capital: bool, lex: Lexicon) -> tuple[float, str] | None:
+    """(cost, word meant) of a word as read or as misread, if the corpus has it."""
+    options = [(lex.cost(word), word)] if word in lex.counts else []
+    best = lex.best_reading(word, capital)
+    return min(options + ([best] if best else []), default=None)
+
+
+def cheapest(tokens: list[str], cut: list[bool], lex: Lexicon) -> list[Edge]:
+    """The cheapest path over a stream of tokens: each as read, misread, split in two, merged with the next, and each of
+    these also with misread characters. cut: the token is broken off at a line end and goes on in the next; such words are
+    joined, with or without a hyphen of their own.
+    """
     n = len(tokens)
-    best: list[tuple[float, int, list[str]]] = [(0.0, 0, [])] + [(math.inf, 0, [])] * n
+    plain = [t.lower().strip(EDGE) for t in tokens]
+    odd = [not c and (p.isalpha() or SURE.match(p) is not None) and p not in lex.counts for p, c in zip(plain, cut)]
+    tail = [i > 0 and cut[i - 1] for i in range(n)]
+    best: list[tuple[float, Edge | None]] = [(0.0, None)] + [(math.inf, None)] * n
 
-    def relax(i: int, j: int, cost: float, words: list[str]) -> None:
-        if best[i][0] + cost < best[j][0]:
-            best[j] = (best[i][0] + cost, i, words)
+    def relax(cost: float, edge: Edge) -> None:
+        if best[edge.first][0] + cost < best[edge.last][0]:
+            best[edge.last] = (best[edge.first][0] + cost, edge)
 
     for i in range(n):
-        p = plain[i]
-        if not p.isalpha() or p in lex.counts:
-            relax(i, i + 1, lex.cost(p) if p in lex.counts else 0.0, [tokens[i]])
-        else:
-            relax(i, i + 1, lex.cost(p), [tokens[i]])
+        if best[i][0] == math.inf:
+            continue
+        if cut[i] and i + 1 < n:
+            relax(*joined(i, tokens, cut, lex))
+            continue
+        relax(*alone(i, tokens[i], lex))
+        p, capital = plain[i], tokens[i][:1].isupper() and not tokens[i].isupper()
+        if odd[i] and len(p) < 40:
+            at = tokens[i].lower().find(p)
             for k in range(2, len(p) - 1):
-                if p[:k] in lex.counts and p[k:] in lex.counts:
-                    at = tokens[i].lower().find(p) + k
-                    relax(i, i + 1, lex.cost(p[:k]) + lex.cost(p[k:]) + SPLIT_COST, [tokens[i][:at], tokens[i][at:]])
-        if i + 1 < n and p.isalpha() and plain[i + 1].isalpha() and tokens[i][-1:].isalpha() and (p not in lex.counts or plain[i + 1] not in lex.counts):
-            if p + plain[i + 1] in lex.counts:
-                relax(i, i + 2, lex.cost(p + plain[i + 1]) + MERGE_COST, [tokens[i] + tokens[i + 1]])
+                a, b = (known_as(p[:k], capital, lex), known_as(p[k:], False, lex)) if p[:k] in lex.counts or p[k:] in lex.counts else (None, None)
+                if a and b:
+                    halves = [(tokens[i][: at + k], p[:k], a[1]), (tokens[i][at + k :], p[k:], b[1])]
+                    relax(a[0] + b[0] + SPLIT_COST, Edge(i, i + 1, [t if w == m else dress(t, m) for t, w, m in halves], [(m, []) for _, w, m in halves if w != m]))
+        if i + 1 < n and not cut[i + 1] and (odd[i] or odd[i + 1]) and tokens[i][-1:].isalnum() and tokens[i + 1][:1].isalnum():
+            q = plain[i + 1]
+            if all(odd[j] or plain[j].isalpha() for j in (i, i + 1)) and (found := known_as(p + q, capital, lex)):
+                whole = tokens[i] + tokens[i + 1]
+                relax(found[0] + MERGE_COST, Edge(i, i + 2, [whole if found[1] == p + q else dress(whole, found[1])], [] if found[1] == p + q else [(found[1], [])]))
     out, j = [], n
     while j:
-        _, i, words = best[j]
-        out = words + out
-        j = i
-    return out
+        edge = best[j][1]
+        out.append(edge)
+        j = edge.first
+    return out[::-1]
+
+
+def joined(i: int, tokens: list[str], cut: list[bool], lex: Lexicon) -> tuple[float, Edge]:
+    """The edge of a word broken at one or more line ends."""
+    j = i + 1
+    while cut[j] and j + 1 < len(tokens):
+        j += 1
+    head = "".join(t[:-1] for t in tokens[i:j])
+    found = joined_word(head.lower().lstrip(EDGE), tokens[j - 1][-1], tokens[j].lower().rstrip(EDGE), lex) if j == i + 1 else joined_word(head.lower().lstrip(EDGE), "", tokens[j].lower().rstrip(EDGE), lex)
+    return 0.0, Edge(i, j + 1, [dress(head + tokens[j], lex.decide(*found))], [found], True)
+
+
+class Decoded:
+    """A text with the cheapest path over its de-lined body, from which faults and the repaired text are read."""
+
+    def __init__(self, text: str, lex: Lexicon):
+        self.text, self.scan = text, Scan(text)
+        self.tokens, self.line, self.edges = [], [], []
+        if not self.scan.wrapped:
+            return
+        cut_lines = {a for a, _ in self.scan.breaks}
+        cut = []
+        for i in self.scan.body:
+            words = self.scan.bare[i].split()
+            self.tokens += words
+            self.line += [i] * len(words)
+            cut += [False] * (len(words) - 1) + [i in cut_lines]
+        self.edges = cheapest(self.tokens, cut, lex) if self.scan.scanned else [alone(k, t, lex)[1] for k, t in enumerate(self.tokens)]
+
+    def faults(self) -> list[tuple[int, str, str, list[str]]]:
+        out = [(i + 1, "furniture", "", []) for i in self.scan.furniture] if self.scan.scanned else []
+        for e in self.edges:
+            read = "".join(self.tokens[e.first : e.last])
+            if e.hyphen:
+                parts = self.tokens[e.first : e.last]
+                if all(t.strip(EDGE + "-­¬") for t in parts) and sum(c.isdigit() for c in read) <= 2 and "/" not in read:
+                    out += [(self.line[k] + 1, "hyphen", *e.misread[0]) for k in range(e.first, e.last - 1)]
+            elif self.scan.scanned or DIGIT.search(read) or "@" in read:
+                out += [(self.line[e.first] + 1, "misread", *m) for m in e.misread]
+        return out
 
 
 def faults(text: str, lex: Lexicon) -> list[tuple[int, str, str, list[str]]]:
     """(line_no, kind, fixed, forms still to be looked up) of every fault of a scanned text."""
-    scan = Scan(text)
-    if not scan.wrapped:
-        return []
-    out = [(i + 1, "furniture", "", []) for i in scan.furniture] if scan.scanned else []
-    cut_left, cut_right = {a for a, _ in scan.breaks}, {b for _, b in scan.breaks}
-    letters_too = scan.scanned
-    for a, b in scan.breaks:
-        left, mark, right = halves(scan, a, b)
-        if left and right and sum(c.isdigit() for c in left + right) <= 2 and not ("/" in left + right):
-            fixed, forms = joined_word(left, mark, right, lex)
-            out.append((a + 1, "hyphen", fixed, forms))
-    for i in scan.body:
-        tokens = scan.bare[i].split()
-        for k, t in enumerate(tokens):
-            if k == len(tokens) - 1 and i in cut_left or k == 0 and i in cut_right:
-                continue
-            w = t.lower().strip(EDGE)
-            found = misread(t, lex)
-            if found and (letters_too or DIGIT.search(w) or "@" in w):
-                out.append((i + 1, "misread", *found))
-    return out
+    return Decoded(text, lex).faults()
 
 
 def paragraph_breaks(lines: list[str], gaps: list[bool], pages: list[bool]) -> list[bool]:
@@ -344,37 +415,23 @@ def paragraph_breaks(lines: list[str], gaps: list[bool], pages: list[bool]) -> l
 
 def repair(text: str, lex: Lexicon) -> str:
     """Continuous paragraphs of a scanned text; a text that is no scan comes back unchanged."""
-    scan = Scan(text)
+    return repaired(Decoded(text, lex))
+
+
+def repaired(d: Decoded) -> str:
+    scan = d.scan
     if not scan.scanned:
-        return text
-    cut = dict(scan.breaks)
-    lines, gaps, pages, carried = [], [], [], None
+        return d.text
+    words: dict[int, list[str]] = {i: [] for i in scan.body}
+    for e in d.edges:
+        words[d.line[e.first]] += e.words
+    lines, gaps, pages, furniture = [], [], [], set(scan.furniture)
     for k, i in enumerate(scan.body):
-        tokens = scan.bare[i].split()
-        last = tokens[-1] if i in cut else None
-        middle = tokens[1 if carried is not None else 0 : len(tokens) - (1 if last is not None else 0)]
-        fixed = []
-        for t in split_or_merged(middle, lex):
-            found = misread(t, lex)
-            fixed.append(t if not found else dress(t, lex.decide(*found)))
-        if carried is not None:
-            fixed.insert(0, carried)
-            carried = None
-        if last is not None:
-            j = cut[i]
-            left, mark, right = halves(scan, i, j)
-            head, tail = last[:-1], scan.bare[j].split()[0]
-            whole = dress(head + tail, lex.decide(*joined_word(left, mark, right, lex)))
-            if len(scan.bare[j].split()) == 1 and j in cut:
-                fixed.append(whole)
-            else:
-                fixed.append(whole)
-                carried = ""
-        lines.append(" ".join(x for x in fixed if x))
         follow = scan.body[k + 1] if k + 1 < len(scan.body) else len(scan.lines)
         between = range(i + 1, follow)
+        lines.append(" ".join(words[i]))
         gaps.append(any(not scan.bare[x] for x in between))
-        pages.append(any(x in set(scan.furniture) for x in between))
+        pages.append(any(x in furniture for x in between))
     keep = [x for x in range(len(lines)) if lines[x]]
     lines, gaps, pages = [lines[x] for x in keep], [gaps[x] for x in keep], [pages[x] for x in keep]
     out, part = [], []
@@ -408,14 +465,14 @@ def wanted(text: str, forms: list[list[str]], lex: Lexicon, recorder: Lexicon |
     if recorder is not None:
         recorder.counts.missed.clear()
         recorder.memo.clear()
-        faults(text, recorder)
-        repair(text, recorder)
+        recorder.read.clear()
+        Decoded(text, recorder)
         words |= recorder.counts.missed
     return sorted(words)
 
 
-def decoded(texts: DataFrame, make: Callable[[str, Lexicon], list[tuple]], columns: str) -> DataFrame:
-    """(file_id, columns) of make(text, lexicon) for every text; null texts give one row of nulls.
+def decoded(texts: DataFrame, make: Callable[[str, Lexicon, Decoded | None], list[tuple]], columns: str) -> DataFrame:
+    """(file_id, columns) of make(text, lexicon, decoded) for every text; null texts give one row of nulls.
 
     Texts for which the shared frequencies are enough are done at once. The others wait, their missing words are joined
     with the table of all words, and they are done with what was found; only they are shuffled.
@@ -438,8 +495,9 @@ def decoded(texts: DataFrame, make: Callable[[str, Lexicon], list[tuple]], colum
                 if t is None:
                     rows.append((i, *none, None, None))
                     continue
-                words = wanted(t, [f[3] for f in faults(t, lex)], lex, recorder) if maybe_scanned(t) else []
-                rows += [(i, *none, t, words)] if words else [(i, *r, None, None) for r in make(t, lex)]
+                d = Decoded(t, lex) if maybe_scanned(t) else None
+                words = wanted(t, [m[1] for e in d.edges for m in e.misread], lex, recorder) if d else []
+                rows += [(i, *none, t, words)] if words else [(i, *r, None, None) for r in make(t, lex, d)]
             yield batch(rows, waiting)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +505,7 @@ def decoded(texts: DataFrame, make: Callable[[str, Lexicon], list[tuple]], colum
             rows = []
             for i, t, found in zip(*[b.column(c).to_pylist() for c in ("file_id", "text", "found")]):
                 lex = shared.value.widened({x["word"]: x["n"] for x in found or []})
-                rows += [(i, *r) for r in make(t, lex)]
+                rows += [(i, *r) for r in make(t, lex, Decoded(t, lex))]
             yield batch(rows, schema)
 
     names = f"file_id bigint, {columns}"
@@ -466,8 +524,8 @@ def scan_faults(texts: DataFrame) -> DataFrame:
     an empty result. Words outside the shared frequencies are decided by a join with the table of all words.
     """
 
-    def make(text: str, lex: Lexicon) -> list[tuple]:
-        return [f[:2] + (lex.decide(f[2], f[3]),) for f in faults(text, lex)] if maybe_scanned(text) else []
+    def make(text: str, lex: Lexicon, d: Decoded | None) -> list[tuple]:
+        return [f[:2] + (lex.decide(f[2], f[3]),) for f in d.faults()] if d else []
 
     source = texts.filter("file_id is not null and text is not null")
     return decoded(source, make, "line_no bigint, kind string, fixed string").distinct()
@@ -476,7 +534,7 @@ def scan_faults(texts: DataFrame) -> DataFrame:
 def repaired_texts(texts: DataFrame) -> DataFrame:
     """(file_id, repaired): each text that is a scan as continuous paragraphs; other texts unchanged. One row an input row."""
 
-    def make(text: str, lex: Lexicon) -> list[tuple]:
-        return [(repair(text, lex) if maybe_scanned(text) else text,)]
+    def make(text: str, lex: Lexicon, d: Decoded | None) -> list[tuple]:
+        return [(repaired(d) if d else text,)]
 
     return decoded(texts, make, "repaired string")

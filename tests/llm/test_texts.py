@@ -183,3 +183,12 @@ def test_rare_words_are_decided_by_the_join_in_both_queries(spark, monkeypatch,
     assert found == {("hyphen", "quill-board"), ("misread", "zarnbodal"), ("misread", "periad")}
     repaired = {r.file_id: r.repaired for r in scans.repaired_texts(d).collect()}
     assert "the quill-board and" in repaired[1] and "the zarnbodal records of the periad that" in repaired[1] and repaired[2] == common
+
+
+def test_one_path_decides_split_merged_and_misread_together(lex):
+    page = "ACME WATER TRUST — REPORT\n\nThe committee has asked about thecornmittee\nrecords that were kept in the inv oicc\nroom until the review board had retu\nrned to the office.\n\nPage 2 / 2"
+    lex = scans.Lexicon({w: 20_000 for w in lex.counts}, 2_000_000)
+    found = {(n, f) for n, k, f, _ in scans.faults(page, lex) if k == "misread"}
+    assert found == {(3, "committee"), (4, "invoice")}
+    assert "about the committee records" in scans.repair(page, lex) and "the invoice room" in scans.repair(page, lex) and "had returned to" in scans.repair(page, lex)
+    assert scans.split_or_merged(["it", "was", "kept"], lex) == ["it", "was", "kept"]
