@@ -81,6 +81,33 @@ def test_surrogates():
     assert phone.startswith("+49 ") and [len(x) for x in phone.split()] == [3, 2, 5, 3]
 
 
+def test_replacing_ends_for_any_entity():
+    for text in ("p@o.at", "box@box.at", "a@b.test", "PO@DOT.AT", "P. O. Box 1, Oslo", "0 0 0", "+0 0 0", "x (at) y [dot] z", "A00000000"):
+        holders, made, found = pii.replace(text, GIVEN, SURNAME, b"key")
+        for kind, item in found:
+            assert pii.identity(kind, pii.surrogate(kind, item, b"key")) != pii.identity(kind, item)
+        assert len(made) == len(text)
+
+
+def test_surrogates_are_distinct_over_the_corpus():
+    import itertools
+
+    names = ["".join(x) for x in itertools.product("abdeklmo", repeat=3)] + ["anna", "hanna", "maria", "иван", "ольга", "łucja", "a" * 60, "a" * 61]
+    made = {pii.surrogate("person", f"{n.capitalize()} Varnicz", b"k").split()[0].lower() for n in names}
+    assert len(made) == len(names)
+    assert all((pii.name_word(n, b"k")[-1] in pii.FEMININE) == (n[-1] in pii.FEMININE) and pii.name_word(n, b"k") != n for n in names if len(n) > 2)
+    assert pii.surrogate("person", "Hugo Varnicz", b"k")[0] == pii.surrogate("person", "H. Varnicz", b"k")[0]
+    phones = [f"{i:07d}" for i in range(3000)]
+    assert len({pii.surrogate("phone", f"0393 {p}", b"k") for p in phones}) == len(phones)
+    assert len({pii.permuted(f"{i:03d}", b"k", "x") for i in range(1000)}) == 1000
+
+
+def test_names_in_other_scripts():
+    found = pii.entities("Иван Петров, +44 1632 960092", frozenset({"Иван"}), frozenset({"Петров"}))
+    assert [k for _, _, k in found] == ["person", "phone"]
+    assert pii.surrogate("person", "Иван Петров", b"k").isascii() is False
+
+
 def test_redacting_edges(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "plain text"), (4, "mail a@b.test")], "file_id bigint, text string")
     out = {r.file_id: r.redacted for r in pii.redact(d, names=(GIVEN, SURNAME)).collect()}
