@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm.common import file_texts
 from quillspark.session import load, spread
@@ -69,7 +70,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.quality import text_stats
 
-    return text_stats(file_texts(spark, sf_dir)).select("file_id", "words", "marks").distinct()
+    ratios = ("mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share")
+    return text_stats(file_texts(spark, sf_dir)).select("file_id", "words", "lines", "marks", *[F.round(c, 6).alias(c) for c in ratios]).distinct()
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillspark.llm.textkind import COMMON_WORDS
+
 # Every pair that shares a shingle is counted; the whole sets decide. No prefix, signature or tree is used here.
 P4 = r"""
 WITH t AS (SELECT file_id, max(lower(text)) AS t FROM extracted_content WHERE regexp_matches(text, '\S') GROUP BY 1),
@@ -17,11 +19,16 @@ SELECT p.a AS file_id_a, p.b AS file_id_b FROM p JOIN c x ON x.file_id = p.a AND
 WHERE i * 5 >= (x.n + y.n - i) * 3
 """
 
-# The recorded count and score against the text; the kinds of text are not expressible here, so only these two rules.
+# The statistics of a text from the text itself; the kinds of text are not expressible here.
 P1_STATS = r"""
-SELECT DISTINCT file_id, len(regexp_extract_all(text, '\S+')) AS words, len(regexp_replace(text, '[^.!?]', '', 'g')) AS marks
-FROM extracted_content WHERE regexp_matches(text, '\S')
-"""
+WITH t AS (SELECT DISTINCT file_id, text, regexp_extract_all(text, '\S+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM extracted_content WHERE regexp_matches(text, '\S'))
+SELECT DISTINCT file_id, len(w) AS words, len(l) AS lines, len(regexp_replace(text, '[^.!?]', '', 'g')) AS marks,
+ round(list_sum(list_transform(w, lambda x: len(x))) / len(w), 6) AS mean_word_length,
+ round(len(regexp_replace(text, '[^{}<>^~\\=*&%§]', '', 'g')) / len(text), 6) AS symbol_ratio,
+ round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?]\s*$'))) / len(l), 6) AS ended_line_share,
+ round(len(list_filter(w, lambda x: list_contains(COMMON, lower(x)))) / len(w), 6) AS common_word_share
+FROM t
+""".replace("COMMON", "[" + ", ".join(f"'{w}'" for w in sorted(COMMON_WORDS)) + "]")
 
 
 def oracle_sql() -> dict[str, str]:

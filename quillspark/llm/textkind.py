@@ -1,7 +1,8 @@
 """Per-document text statistics as an associative summary, and the kind of text they show.
 
 A text is summarised line by line. A summary of a chunk holds counters of its complete lines and, as boundary state,
-the unfinished line at either end; two neighbouring summaries merge exactly whatever the place of the cut.
+the unfinished line at either end, of which a bounded part is kept as text and the rest as counters; two neighbouring
+summaries merge exactly whatever the place of the cut.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ COMMON_WORDS = frozenset(
 )
 BULLET = re.compile(r"\s*(?:[-*•–·▪◦+]{1,2}|\[[ xX]?\]|\(?[0-9]{1,3}[.)]|\(?[A-Za-z][.)])\s+\S")
 CELLS = re.compile(r"\t| {2,}| \.{3,} |[|;]")
-MOJIBAKE = re.compile("Ã.|â€|Â[^A-Za-z]|�")
+MOJIBAKE = re.compile("Ã(?=.)|â(?=€)|Â(?=[^A-Za-z\n])|�")  # told by a character and the next, so that counts add up over cuts
 EDGES = "()[]\"«»„“”'’.,;:!?"
 VOWELS = "aeiouyáéíóúàèäöü"
 SYMBOLS = "{}<>^~\\=*&%§"
@@ -49,37 +50,171 @@ def block_counts(block: str, out: list[int]) -> None:
     out[6] += sum(1 for t in tokens if t.isalpha() or t.strip(EDGES).replace("-", "").replace("'", "").isalpha())
     out[7] += sum(map(low.count, VOWELS))
     out[8] += sum(map(block.count, SYMBOLS))
-    if "Ã" in block or "â€" in block or "�" in block:
+    if "Ã" in block or "Â" in block or "â€" in block or "�" in block:
         out[9] += len(MOJIBAKE.findall(block))
     for line in block.split("\n"):
         line = line.strip()
-        if not line:
-            continue
-        out[4] += 1
-        k = line.count(" ") + 1
-        ended = line[-1] in ".!?"
-        out[16] += ended
-        bullet = BULLET.match(line)
-        ends = line.count(". ") + line.count("? ") + line.count("! ")
-        if ends:
-            ends -= sum(map(line.count, ABBREVIATIONS)) + (1 if bullet and ". " in line[: bullet.end()] else 0)
-        ends = max(0, ends) + (ended and not line.endswith(" ...."))
-        out[10] += ends
-        if "," in line or ";" in line:
-            out[11] += line.count(",") + line.count(";")
-        if line.count(" > ") >= 2:
-            out[17] += k
-        if ends:
-            continue
-        if bullet:
-            out[12] += 1
-            out[13] += k
-        elif CELLS.search(line):
+        if line:
+            ends = line.count(". ") + line.count("? ") + line.count("! ")
+            commas = line.count(",") + line.count(";") if "," in line or ";" in line else 0
+            line_counts(out, line, line.count(" ") + 1, len(line), ends, sum(map(line.count, ABBREVIATIONS)) if ends else 0, commas, line.count(" > "), None, None)
+
+
+def line_counts(out: list[int], line: str, blanks: int, length: int, ends: int, abbreviations: int, commas: int, arrows: int, cells: bool | None, words: int | None) -> None:
+    """Add the counters of one line that is not blank. line: its text, or the two ends of it where it is long."""
+    if not line:
+        return
+    out[4] += 1
+    ended = line[-1] in ".!?"
+    out[16] += ended
+    bullet = BULLET.match(line)
+    if ends:
+        ends -= abbreviations + (1 if bullet and ". " in line[: bullet.end()] else 0)
+    ends = max(0, ends) + (ended and not line.endswith(" ...."))
+    out[10] += ends
+    out[11] += commas
+    if arrows >= 2:
+        out[17] += blanks
+    if ends:
+        return
+    if bullet:
+        out[12] += 1
+        out[13] += blanks
+    elif cells or cells is None and CELLS.search(line):
+        out[14] += 1
+        out[15] += len(line.split()) if words is None else words
+    elif blanks <= 8 and length < 60:
+        out[12] += 1
+        out[13] += blanks
+
+
+FEATURES = ("words", "word_chars", "marks", "chars", "common", "plain", "vowels", "symbols", "mojibake", "commas", "spaces", "ends", "abbreviations", "arrows", "cells")
+COUNTER_OF = {"words": 0, "word_chars": 1, "marks": 2, "common": 5, "plain": 6, "vowels": 7, "symbols": 8, "mojibake": 9}
+KEEP = 512  # characters kept as text at either end of an unfinished line
+WORD_KEEP = 32  # and at either end of a long word in it
+LONG_WORD = re.compile(r"\S{80,}")
+LONG_GAP = re.compile(r"[^\S\n]{12,}")
+
+
+def features(text: str) -> list[int]:
+    """What adds up over the parts of one line; the last of FEATURES only says whether there is one."""
+    tokens, low = text.split(), text.lower()
+    return [
+        len(tokens),
+        sum(map(len, tokens)),
+        text.count(".") + text.count("!") + text.count("?"),
+        len(text),
+        sum(map(COMMON_WORDS.__contains__, low.split())),
+        sum(1 for t in tokens if t.isalpha() or t.strip(EDGES).replace("-", "").replace("'", "").isalpha()),
+        sum(map(low.count, VOWELS)),
+        sum(map(text.count, SYMBOLS)),
+        len(MOJIBAKE.findall(text)),
+        text.count(",") + text.count(";"),
+        text.count(" "),
+        text.count(". ") + text.count("? ") + text.count("! "),
+        sum(map(text.count, ABBREVIATIONS)),
+        text.count(" > "),
+        1 if CELLS.search(text) else 0,
+    ]
+
+
+def short_word(m: re.Match) -> str:
+    """A long word without its inner part, which leaves a mark of the same kind: plain letters or not."""
+    w = m.group()
+    inner = w[WORD_KEEP:-WORD_KEEP]
+    if not inner.strip("."):
+        mark = "..."
+    else:
+        core = inner.strip(EDGES).replace("-", "").replace("'", "")
+        mark = ("(" if inner[0] in EDGES else "") + ("" if not inner.strip(EDGES) else "a" if core.isalpha() or not core else "0") + ("(" if inner[-1] in EDGES else "")
+    return w[:WORD_KEEP] + mark + w[-WORD_KEEP:]
+
+
+def cut_after(text: str, at: int, end: int) -> int:
+    """The first place from at on where a word begins after one blank; no pattern of a line reaches over it."""
+    fallback = 0
+    for p in range(max(2, at), end):
+        if text[p - 1].isspace() and not text[p].isspace():
+            if not text[p - 2].isspace() and text[p] not in ">.":
+                return p
+            fallback = fallback or p
+    return fallback
+
+
+class Piece:
+    """A part of a line: bounded text, counters of what was taken out of it, and blanks taken out at its ends."""
+
+    __slots__ = ("text", "out", "left", "right")
+
+    def __init__(self, text: str, out: list[int] | None = None, left: tuple[int, int] = (0, 0), right: tuple[int, int] = (0, 0)):
+        self.text, self.out, self.left, self.right = text, out or [0] * len(FEATURES), left, right
+
+    def drop(self, new: str) -> None:
+        """Go on with a shorter text that has the same ends; what it lacks is counted."""
+        before, after = features(self.text), features(new)
+        self.out = [o + b - a for o, a, b in zip(self.out, after, before)]
+        self.text = new
+
+    def gap(self, blanks: str) -> tuple[str, tuple[int, int]]:
+        """A run of blanks at an end, cut to eight characters, and (characters, spaces) of what goes."""
+        if len(blanks) <= 12:
+            return blanks, (0, 0)
+        return blanks[:4] + blanks[-4:], (len(blanks) - 8, blanks[4:-4].count(" "))
+
+    def shrink(self) -> Piece:
+        if len(self.text) <= 4 * KEEP:
+            return self
+        core = self.text.strip()
+        if not core:
+            kept, gone = self.gap(self.text)
+            self.text, self.left = kept, (self.left[0] + self.right[0] + gone[0], self.left[1] + self.right[1] + gone[1])
+            self.right = (0, 0)
+            return self
+        at = self.text.index(core[0])
+        lead, trail = self.text[:at], self.text[at + len(core) :]
+        lead, gone = self.gap(lead)
+        self.left = (self.left[0] + gone[0], self.left[1] + gone[1])
+        trail, gone = self.gap(trail)
+        self.right = (self.right[0] + gone[0], self.right[1] + gone[1])
+        self.text = lead + core + trail
+        inner = LONG_GAP.sub(lambda m: m.group()[:4] + m.group()[-4:], LONG_WORD.sub(short_word, core))
+        if len(inner) < len(core):
+            self.drop(lead + inner + trail)
+        if len(self.text) > 4 * KEEP:
+            p = cut_after(self.text, KEEP, len(self.text) - KEEP)
+            q = cut_after(self.text, len(self.text) - KEEP, len(self.text))
+            if 0 < p < q:
+                self.drop(self.text[:p] + self.text[q:])
+        return self
+
+    def join(self, other: Piece) -> Piece:
+        out = [a + b for a, b in zip(self.out, other.out)]
+        left, right = self.left, other.right
+        gone = (self.right[0] + other.left[0], self.right[1] + other.left[1])
+        if not self.text.strip():  # blanks so far: still at the left end
+            left, gone = (left[0] + gone[0], left[1] + gone[1]), (0, 0)
+        elif not other.text.strip():
+            right, gone = (right[0] + gone[0], right[1] + gone[1]), (0, 0)
+        if gone[0]:
+            out[3] += gone[0]
+            out[10] += gone[1]
             out[14] += 1
-            out[15] += len(line.split())
-        elif k <= 8 and len(line) < 60:
-            out[12] += 1
-            out[13] += k
+        return Piece(self.text + other.text, out, left, right).shrink()
+
+    def count(self, out: list[int]) -> None:
+        """Add the counters of the line, now complete."""
+        if not any(self.out):
+            block_counts(self.text, out)
+            out[3] += self.left[0] + self.right[0]
+            return
+        f = [a + b for a, b in zip(features(self.text), self.out)]
+        for name, i in COUNTER_OF.items():
+            out[i] += f[FEATURES.index(name)]
+        out[3] += f[3] + self.left[0] + self.right[0] + 1
+        line = self.text.strip()
+        blank, own = features(self.text), features(line)
+        g = dict(zip(FEATURES, (x - b + o for x, b, o in zip(f, blank, own))))
+        line_counts(out, line, g["spaces"] + 1, g["chars"], g["ends"], g["abbreviations"], g["commas"], g["arrows"], g["cells"] > 0, g["words"])
 
 
 class Summary:
@@ -87,7 +222,7 @@ class Summary:
 
     __slots__ = ("head", "tail", "counts")
 
-    def __init__(self, head: str, tail: str | None, counts: list[int]):
+    def __init__(self, head: Piece, tail: Piece | None, counts: list[int]):
         self.head, self.tail, self.counts = head, tail, counts  # tail is None while no line break was seen
 
     @classmethod
@@ -95,26 +230,37 @@ class Summary:
         first, sep, rest = chunk.partition("\n")
         counts = [0] * FIELDS
         if not sep:
-            return cls(first, None, counts)
+            return cls(Piece(first).shrink(), None, counts)
         middle, sep, last = rest.rpartition("\n")
         if sep:
             block_counts(middle, counts)
-        return cls(first, last, counts)
+        return cls(Piece(first).shrink(), Piece(last).shrink(), counts)
 
     def merge(self, other: Summary) -> Summary:
+        counts = [a + b for a, b in zip(self.counts, other.counts)]
         if self.tail is None:
-            return Summary(self.head + other.head, other.tail, [a + b for a, b in zip(self.counts, other.counts)])
+            return Summary(self.head.join(other.head), other.tail, counts)
+        line = self.tail.join(other.head)
         if other.tail is None:
-            return Summary(self.head, self.tail + other.head, [a + b for a, b in zip(self.counts, other.counts)])
-        counts = [a + b for a, b in zip(self.counts, other.counts)]
-        block_counts(self.tail + other.head, counts)
+            return Summary(self.head, line, counts)
+        line.count(counts)
         return Summary(self.head, other.tail, counts)
 
+    def state(self) -> tuple:
+        """The summary as plain values of bounded size."""
+        head, tail = ((p.text, p.out, p.left, p.right) if p is not None else None for p in (self.head, self.tail))
+        return head, tail, self.counts
+
+    @classmethod
+    def from_state(cls, state: tuple) -> Summary:
+        head, tail, counts = state
+        return cls(Piece(*head), Piece(*tail) if tail is not None else None, counts)
+
     def close(self) -> list[int]:
         counts = list(self.counts)
-        block_counts(self.head, counts)
+        self.head.count(counts)
         if self.tail is not None:
-            block_counts(self.tail, counts)
+            self.tail.count(counts)
         counts[3] -= 1  # the last line has no line break
         return counts
 

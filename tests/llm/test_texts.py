@@ -36,6 +36,40 @@ def test_summaries_do_not_depend_on_the_cuts(text, cuts):
     assert s.close() == K.whole(text)
 
 
+PARTS = ["word ", "a. ", "Mr. ", "x" * 90, "é" * 100, "-" * 90, "(" * 90, "." * 90, " .... ", " " * 40, "\t" * 20, "5" * 85, "don't ", "the ", "a; b, ", "Ã©" * 50, "Â 1 ", "- item ", "1) ", " > ", "\n", "z! ", "a" * 40 + "," * 60 + "b" * 40]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=60), st.lists(st.integers(0, 4000), max_size=8), st.booleans())
+def test_bounded_line_states_do_not_depend_on_the_cuts(parts, cuts, balanced):
+    text, keep = "".join(parts) * 2, K.KEEP
+    at = sorted({min(c, len(text)) for c in cuts} | {0, len(text)})
+    pieces = [K.Summary.of(text[a:b]) for a, b in zip(at, at[1:])] or [K.Summary.of("")]
+    try:
+        K.KEEP = 100
+        pieces = [K.Summary.of(text[a:b]) for a, b in zip(at, at[1:])] or [K.Summary.of("")]
+        while balanced and len(pieces) > 1:
+            pieces = [a.merge(b) for a, b in zip(pieces[::2], pieces[1::2])] + pieces[len(pieces) // 2 * 2 :]
+        s = pieces[0]
+        for p in pieces[1:]:
+            s = s.merge(p)
+        assert s.close() == K.whole(text)
+    finally:
+        K.KEEP = keep
+
+
+@pytest.mark.parametrize("unit", ["plain words of a line, and so on. ", "x", "- ", " ", "col;", "Ж", "a\t", "Ã"])
+def test_a_document_in_one_line_has_a_bounded_state(unit):
+    text = unit * (400_000 // len(unit))
+    parts = [K.Summary.of(text[i : i + 5000]) for i in range(0, len(text), 5000)]
+    s = parts[0]
+    for p in parts[1:]:
+        s = s.merge(p)
+        assert len(s.head.text) < 20_000
+    assert s.close() == K.whole(text)
+    assert len(s.head.text) <= 5 * K.KEEP or unit == "Ã"
+
+
 TEXT = "file_id bigint, text string, kind string"
 
 
@@ -47,6 +81,16 @@ def test_long_texts_give_the_same_statistics_in_chunks(spark):
     assert [r[0] for r in whole] == [1, 2]
 
 
+def test_documents_of_megabytes_go_through_the_tree(spark):
+    one_line = spark.range(1).selectExpr("7L AS file_id", "repeat('some plain words without any end, and so on ', 60000) AS text")
+    lines = spark.range(1).selectExpr("8L AS file_id", f"repeat('{PROSE}\\n', 20000) AS text")
+    out = {r.file_id: r for r in text_stats(one_line.unionByName(lines)).collect()}
+    assert out[7].words == 540_000 and out[7].lines == 1 and out[7].marks == 0 and out[7].chars == 44 * 60_000
+    n = len(PROSE.split())
+    assert out[8].words == n * 20_000 and out[8].lines == 20_000 and out[8].kind == "prose" and out[8].ended_line_share == 1.0
+    assert abs(out[8].mean_word_length - sum(map(len, PROSE.split())) / n) < 1e-9 and 0 < out[8].common_word_share < 1
+
+
 def test_quality_findings(spark):
     n = len(PROSE.split())
     t = spark.createDataFrame([(1, PROSE, ""), (1, PROSE, ""), (2, CASES["list"], ""), (3, PROSE, ""), (4, PROSE, "")], TEXT)
