@@ -43,6 +43,8 @@ ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|er|e|re|a|o|x|h|b)?$|^[a-z]{1,4}\d+$|^
 
 TOP_WORDS = 300_000  # bound of the word frequencies sent to the workers; rarer words are looked up by a join
 MIN_COUNT = 2
+MAX_WORD = 64  # a longer run of characters is no word of any of the languages
+LINE_WIDTH = 110  # of a printed page; nine in ten body lines of a scan are no wider
 MEMO = 300_000  # bound of the remembered decisions of a worker
 CONFUSION_COST = 2.5
 NAME_COST = 0.7
@@ -70,7 +72,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         yield from emit(count)
 
     def emit(count: Counter) -> Iterator[pa.RecordBatch]:
-        words = [w for w in count if w and not DIGIT.search(w) and len(w) < 40]
+        words = [w for w in count if w and not DIGIT.search(w) and len(w) <= MAX_WORD]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([count[w] for w in words], pa.int64())], ["word", "n"])
 
     return texts.select("text").filter("text is not null").distinct().mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -106,7 +108,7 @@ class Recorder(dict):
 
     def __contains__(self, word):
         found = super().__contains__(word)
-        if not found and 0 < len(word) < 40:
+        if not found and 0 < len(word) <= MAX_WORD:
             self.missed.add(word)
         return found
 
@@ -173,7 +175,7 @@ def is_header(line: str) -> bool:
     m = HEADER.match(line)
     if not m or not plausible(m["paper"]):
         m = TIGHT_HEADER.match(line)
-    if not m or len(line) > 70 or not plausible(m["paper"]) or len(m["dash"]) == 1 and m["dash"] not in "—–-~|ilc1.":
+    if not m or not plausible(m["paper"]) or len(m["dash"]) == 1 and m["dash"] not in "—–-~|ilc1.":
         return False
     words = m["org"].split()
     return all(any(c.isalpha() for c in w) for w in words) and sum(w[0].isupper() or w[0] in "~|ilc1." for w in words) == len(words)
@@ -198,7 +200,7 @@ class Scan:
         self.bare = bare
         long = [len(bare[i]) for i in self.body]
         runs = sum(1 for a, b in zip(self.body, self.body[1:]) if b == a + 1 and len(bare[a]) >= 25)
-        self.wrapped = len(self.body) >= 3 and max(long) <= 110 and runs >= 2
+        self.wrapped = len(self.body) >= 3 and sum(x > LINE_WIDTH for x in long) * 10 <= len(long) and runs >= 2
         self.breaks = [(a, b) for a, b in zip(self.body, self.body[1:]) if BREAK.search(bare[a]) and bare[b][:1].isalnum()]
         self.scanned = self.wrapped and bool(self.furniture or self.breaks)
 
@@ -243,7 +245,7 @@ def single(token: str, lex: Lexicon) -> tuple[float, tuple[str, list[str]] | Non
 def single_word(word: str, capital: bool, lex: Lexicon) -> tuple[float, tuple[str, list[str]] | None]:
     """single() of a bare word in lower case; a known word is misread only if a reading is common enough against it."""
     plain = (lex.cost(word) if word.isalpha() else 0.0), None
-    if len(word) < 2 or len(word) > 40 or "/" in word or ORDINAL.match(word) or sum(c.isdigit() for c in word) > 3:
+    if len(word) < 2 or len(word) > MAX_WORD or "/" in word or ORDINAL.match(word) or sum(c.isdigit() for c in word) > 3:
         return plain
     if "@" in word and ("." in word.partition("@")[2] or word[0] == "@" and not lex.counts.get("a" + word[1:])):
         return plain
@@ -313,7 +315,7 @@ def cheapest(tokens: list[str], cut: list[bool], lex: Lexicon) -> list[Edge]:
             continue
         relax(*alone(i, tokens[i], lex))
         p, capital = plain[i], tokens[i][:1].isupper() and not tokens[i].isupper()
-        if odd[i] and len(p) < 40:
+        if odd[i] and len(p) <= MAX_WORD:
             at = tokens[i].lower().find(p)
             for k in range(2, len(p) - 1):
                 a, b = (known_as(p[:k], capital, lex), known_as(p[k:], False, lex)) if p[:k] in lex.counts or p[k:] in lex.counts else (None, None)
@@ -394,18 +396,15 @@ def paragraph_breaks(lines: list[str], gaps: list[bool], pages: list[bool]) -> l
         starts = i + 1 < n and lines[i + 1][:1].islower()
         cost_break.append((0 if ended[i] else 6) + (4 if pages[i] else 0 if gaps[i] else 5) + (6 if starts else 0))
         cost_join.append((5 if gaps[i] and not pages[i] else 2 if gaps[i] else 0) + (1 if ended[i] and len(lines[i]) < 0.6 * width else 0))
-    best = [(0.0, -1)] + [(math.inf, -1)] * n  # best[j]: the first j lines end with a paragraph
+    best = [(0.0, -1)] * (n + 1)  # best[j]: cost and start of the last paragraph where the first j lines end with one
+    longer = (math.inf, -1)  # the same for a paragraph of two lines or more that is still open
     for j in range(1, n + 1):
-        inner = 0.0
-        for i in range(j - 1, max(-1, j - 400), -1):
-            alone = 2.0 if j - i == 1 and len(lines[i]) < 0.4 * width else 0.0
-            total = best[i][0] + inner + alone + (cost_break[j - 1] if j < n else 0)
-            if total < best[j][0]:
-                best[j] = (total, i)
-            if i:
-                inner += cost_join[i - 1]
-            if inner > 60:
-                break
+        if j > 1:
+            step = cost_join[j - 2]
+            longer = min((best[j - 2][0] + step, 2 - j), (longer[0] + step, longer[1]))  # of equals the shorter paragraph
+        single = best[j - 1][0] + (2.0 if len(lines[j - 1]) < 0.4 * width else 0.0)
+        cost, start = (single, j - 1) if single <= longer[0] else (longer[0], -longer[1])
+        best[j] = (cost + (cost_break[j - 1] if j < n else 0), start)
     ends, j = [False] * n, n
     while j:
         ends[j - 1] = True
