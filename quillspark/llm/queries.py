@@ -35,6 +35,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(file_texts(spark, sf_dir), load(spark, sf_dir, "document_metadata"))
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.neardup import near_duplicate_links
+
+    return near_duplicate_links(file_texts(spark, sf_dir), load(spark, sf_dir, "document_metadata")).select("file_id", "links")
+
+
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.language import language_findings
 
@@ -106,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p3_repaired": p3_repaired,
         "p4_found": p4_found,
+        "p4_links": p4_links,
         "p5_found": p5_found,
         "p5_languages": p5_languages,
         "p6_found": p6_found,

@@ -31,5 +31,16 @@ FROM t
 """.replace("COMMON", "[" + ", ".join(f"'{w}'" for w in sorted(COMMON_WORDS)) + "]")
 
 
+# Links a file, 0 for those alone: from all pairs, without classes.
+P4_LINKS = f"""
+WITH found AS ({P4}), every AS (
+ SELECT DISTINCT file_id FROM (SELECT file_id, max(lower(text)) AS t FROM extracted_content WHERE regexp_matches(text, '\\S') GROUP BY 1) WHERE len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+')) >= 3
+ UNION SELECT DISTINCT file_id FROM document_metadata WHERE file_id NOT IN (SELECT file_id FROM extracted_content WHERE regexp_matches(text, '\\S'))
+   AND len(regexp_replace(regexp_replace(lower(file_name), '\\.[^.]*$', ''), '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 3),
+l AS (SELECT file_id_a AS file_id FROM found UNION ALL SELECT file_id_b FROM found)
+SELECT file_id, count(l.file_id) AS links FROM every LEFT JOIN l USING (file_id) GROUP BY file_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4, "p1_stats": P1_STATS}
+    return {"p4_found": P4, "p4_links": P4_LINKS, "p1_stats": P1_STATS}

@@ -58,6 +58,17 @@ def test_large_groups_go_through_the_tree(spark):
     assert neardup.near_duplicates(t.limit(0), none).count() == 0
 
 
+def test_ten_thousand_copies_give_class_rows_and_split_pairs(spark):
+    copies = spark.range(10_000).selectExpr("id AS file_id", "'one two three four five six seven eight nine ten' AS text")
+    other = spark.createDataFrame([(20_000, "one two three four five six seven eight nine eleven"), (20_001, "nothing like it at all here")], "file_id bigint, text string")
+    none = spark.createDataFrame([], "file_id bigint, file_name string")
+    links = {(r.links, r.n) for r in neardup.near_duplicate_links(copies.unionByName(other), none).groupBy("links").count().withColumnRenamed("count", "n").collect()}
+    assert links == {(10_000, 10_001), (0, 1)}
+    members = spark.range(300).selectExpr("1L AS class", "id AS file_id").unionByName(spark.range(2).selectExpr("2L AS class", "id + 900 AS file_id"))
+    got = neardup.pairs_within(members, block=40)
+    assert got.count() == got.distinct().count() == 300 * 299 // 2 + 1 and got.selectExpr("least(f, g) AS f", "greatest(f, g) AS g").distinct().count() == 300 * 299 // 2 + 1
+
+
 GIVEN, SURNAME = frozenset({"Clara", "Hugo", "Corvin"}), frozenset({"Varnicz", "Kestholt", "Oskar"})
 TEXT = "Dear Mrs Clara Varnicz, call +44 1632 960092 or (393) 555-0159 ext. 12. Mail: c_varnicz (at) post [dot] test, 12b Weir Lane, Lindsund 00025. By Kestholt, Hugo and H. T. Kestholt for Velkegard Stores. SSN 000 45 0095; Part number 412-55-9071. Passport X00651608."
 
@@ -187,3 +198,17 @@ def test_mix(spark):
     assert abs(r["small"].actual_share - 0.25 / 0.95) < 0.03 and r["absent"].actual_share == 0.0
     empty, nothing = mix(d.limit(0), targets)
     assert empty.count() == 0 and nothing.count() == 3
+
+
+def test_quota_that_a_shard_cannot_hold_goes_to_the_others(spark):
+    from quillspark.llm.mixing import spread_quota
+
+    out = spread_quota({0: 100, 1: 10, 2: 1}, 200.0, 30.0, 2)
+    assert abs(sum(out.values()) - 200) < 1e-6 and all(out[k] <= 2 * n + 1e-9 for k, n in {0: 100, 1: 10, 2: 1}.items())
+    rows = [(i, "some words of text here " * (1 + i % 7), "a" if i % 3 else "b") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 3)], "source string, target_share double, max_repeats bigint")
+    reports = [{r.source: r for r in mix(d, targets, shard_tokens=s, max_groups=g)[1].collect()} for s, g in ((2_000_000, 4096), (300, 4096), (300, 3))]
+    for r in reports:
+        assert abs(r["a"].actual_share - 0.6) < 0.03 and r["a"].highest_repeat <= 2 and r["b"].highest_repeat <= 3
+        assert abs(sum(x.mixed_tokens for x in r.values()) / sum(x.mixed_tokens for x in reports[0].values()) - 1) < 0.05

@@ -150,7 +150,7 @@ def test_subjects_of_paragraphs():
     w = np.concatenate([*subjects.learn(texts, labels), subjects.seed_weights()], axis=1)
     votes = subjects.paragraph_votes([law + "\n\n" + sport, law, "nothing known"], w, subjects.Buckets())
     accuracy, prior = np.array([0.9, 0.95, 0.9, 0.3, 0.3, 0.7]), np.full(8, 1 / 8)
-    names = [[subjects.SUBJECTS[s] for s, _ in subjects.document_subjects([p * 9 for p, _ in v], [n for _, n in v], accuracy, prior)] for v in votes]
+    names = [[subjects.SUBJECTS[s] for s, _ in subjects.document_subjects([p * 9 for p, _ in v], [n for _, n in v], subjects.Posteriors(accuracy, prior))] for v in votes]
     assert sorted(names[0]) == ["law", "sport"] and names[1] == ["law"] and len(names[2]) == 1
 
 
