@@ -1,13 +1,15 @@
 """Problem 9: mixing sources to target weights.
 
 Method: Sainte-Laguë apportionment. The mix is cut into equal-token blocks that go to the sources by highest quotients,
-each source's blocks go to its shards the same way, and every shard fills its integer quota in a seeded order.
+each source's blocks go to its groups of shards and from there to the shards the same way, and every shard fills its
+quota in a seeded order. Shards have a fixed size, so there are more of them in a larger corpus and none grows.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,9 +17,10 @@ from pyspark.sql.window import Window
 from quillspark.llm.tokenizer import token_counts
 from quillspark.session import materialise
 
-BLOCKS = 1 << 14  # equal-token blocks of the whole mix
+BLOCKS = 1 << 14  # equal-token blocks of the whole mix, and at least BLOCKS_A_SHARD for every shard
+BLOCKS_A_SHARD = 16
 SHARD_TOKENS = 2_000_000  # aimed at; the number of shards follows the corpus
-MAX_SHARDS = 4096  # bounds the quota table: at most MAX_SHARDS rows a source reach the driver
+MAX_GROUPS = 4096  # groups of shards: at most MAX_GROUPS rows a source reach the driver, the shards of a group one task
 SEED = 20_240_117
 
 
@@ -47,12 +50,27 @@ def sainte_lague(weights: dict, seats: int, limits: dict | None = None) -> dict:
     return out
 
 
+def spread_quota(held: dict, quota: float, block: float, repeats: int) -> dict:
+    """Tokens for each key: whole blocks by Sainte-Laguë on what the keys hold, none above repeats times that.
+
+    What the limits or the rounding to blocks leave over goes to the keys that still have room, in proportion to it.
+    """
+    seats = sainte_lague(held, int(quota / block), {k: int(n * repeats / block) for k, n in held.items()})
+    out = {k: min(seats[k] * block, float(n * repeats)) for k, n in held.items()}
+    left = quota - sum(out.values())
+    room = sum(n * repeats - out[k] for k, n in held.items())
+    if left > 0 and room > 0:
+        part = min(1.0, left / room)
+        out = {k: out[k] + part * (n * repeats - out[k]) for k, n in held.items()}
+    return out
+
+
 def source_name(column: str = "source"):
     """The source however it is spelled: lower case without outer white space."""
     return F.lower(F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", ""))
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, blocks: int = BLOCKS, seed: int = SEED, shard_tokens: int = SHARD_TOKENS, max_groups: int = MAX_GROUPS) -> tuple[DataFrame, DataFrame]:
     """(chosen documents, report of shares).
 
     docs: (doc_id, text, source); targets: (source, target_share, max_repeats), a small table of which only its sources
@@ -75,27 +93,36 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     counted = materialise(counted.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens")), "mix-counts")
 
     corpus = counted.agg(F.sum("n_tokens")).collect()[0][0] or 0
-    shards = max(1, min(MAX_SHARDS, -(-corpus // SHARD_TOKENS)))
-    sharded = counted.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int"))
-    held = {(r.source, r.shard): r.n for r in sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect()}
-    available = dict.fromkeys(names, 0)
-    for (s, _), n in held.items():
-        available[s] += n
+    shards = max(1, -(-corpus // shard_tokens))
+    wide = max(1, -(-shards // max_groups))  # shards a group
+    groups = -(-shards // wide)
+    sharded = counted.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards))).withColumn("group", F.floor(F.col("shard") / wide))
+    in_shards = sharded.groupBy("source", "group", "shard").agg(F.sum("n_tokens").alias("n"))
+    held: dict[str, dict[int, int]] = {s: {} for s in names}
+    for r in in_shards.groupBy("source", "group").agg(F.sum("n").alias("n")).collect():
+        held[r.source][r.group] = r.n
+    available = {s: sum(held[s].values()) for s in names}
     live = [s for s in names if available[s] > 0 and share[s] > 0 and repeats[s] > 0]
     scale = sum(share[s] for s in live)
     if total_tokens is None:
         total_tokens = int(min((available[s] * repeats[s] * scale / share[s] for s in live), default=0))
-    block = max(1.0, total_tokens / blocks)
+    block = max(1.0, total_tokens / max(blocks, BLOCKS_A_SHARD * groups))
     quota = sainte_lague({s: share[s] for s in live}, int(total_tokens / block), {s: int(available[s] * repeats[s] / block) for s in live})
-    rows = []
-    for s in live:
-        mine = {k: n for (name, k), n in held.items() if name == s}
-        given = sainte_lague(mine, quota[s])
-        for k, n in mine.items():
-            q = min(given[k] * block, float(n * repeats[s]))
-            whole = min(int(q // n), repeats[s])
-            rows.append((s, k, whole, float(q - whole * n) if whole < repeats[s] else 0.0))
-    quotas = spark.createDataFrame(rows, "source string, shard int, whole int, rest double")
+    rows = [(s, g, q) for s in live for g, q in spread_quota(held[s], quota[s] * block, block, repeats[s]).items()]
+    given = spark.createDataFrame(rows, "source string, group bigint, quota double")
+    capped = spark.createDataFrame([(s, repeats[s]) for s in live], "source string, repeats bigint")
+
+    def divide(part: pd.DataFrame) -> pd.DataFrame:
+        """The quota of a group of shards over its shards, the same way; a group holds at most as many shards as wide."""
+        mine, most = dict(zip(part.shard.tolist(), part.n.tolist())), int(part.repeats.iloc[0])
+        fine = max(1.0, float(part.quota.iloc[0]) / (BLOCKS_A_SHARD * len(mine)))
+        out = []
+        for k, q in spread_quota(mine, float(part.quota.iloc[0]), fine, most).items():
+            whole = min(int(q // mine[k]), most)
+            out.append((part.source.iloc[0], k, whole, q - whole * mine[k] if whole < most else 0.0))
+        return pd.DataFrame(out, columns=["source", "shard", "whole", "rest"])
+
+    quotas = in_shards.join(given, ["source", "group"]).join(capped, "source").groupBy("source", "group").applyInPandas(divide, "source string, shard bigint, whole int, rest double")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
     placed = sharded.withColumn("before", F.sum("n_tokens").over(order) - F.col("n_tokens")).join(quotas, ["source", "shard"])
     # a block ends inside a document: that document is taken if more than half of it lies before the end
