@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from quillspark.session import materialise
 
 BUCKETS = 1 << 17  # word nodes; two float32 vectors of this length go to each worker: 1 MB
-ROUNDS = 4
+ROUNDS = 20  # at most; the iteration ends when the word values stand still
+STILL = 0.005  # mean change of a word value, in levels, at which they do
 MIN_DEGREE = 5.0  # words in fewer documents carry no difficulty of their own
 CALIBRATION_BINS = 400
 SENTENCES = re.compile(r"(?<=[.?!])\s+|\n+")
@@ -117,6 +118,12 @@ def _vectors(messages: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return value, weight
 
 
+def _change(before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> float:
+    """Mean change of the word values, weighted by what they count."""
+    weight = after[1] * (before[1] > 0)
+    return float((np.abs(after[0] - before[0]) * weight).sum() / weight.sum()) if weight.sum() else 0.0
+
+
 def _sentences(batch: pa.RecordBatch, vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document index, score, words) of every sentence of a batch."""
     value, weight = vectors
@@ -173,7 +180,10 @@ def reading_levels(docs: DataFrame, samples: DataFrame, levels: int = 4, rounds:
     vectors = spark.sparkContext.broadcast(_vectors(_messages(edges.filter("reading_level is not null"), None)))
     for _ in range(rounds):
         previous, vectors = vectors, spark.sparkContext.broadcast(_vectors(_messages(edges, vectors)))
+        change = _change(previous.value, vectors.value)
         previous.unpersist()
+        if change < STILL:
+            break
     cuts = np.asarray(_calibrate(edges, vectors, levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
