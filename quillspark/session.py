@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -59,12 +61,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 _OWN_DIRS: dict[str, str] = {}
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where it is unset a local session gets a folder of its own; any other master is refused, since its executors would
+    write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = tempfile.mkdtemp(prefix="quill-")
@@ -75,14 +84,33 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing a table into the shared folder and reading it back.
 
-    The written files are Parquet on storage every executor sees, so a lost executor costs only its running tasks.
+    The written files are Parquet on storage every executor sees, so a lost executor costs only its running tasks. They
+    stay as long as the driver lives, since a result may still read them; release() or its end deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(release)
+    _TABLES.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Delete the tables that materialise() wrote; results that still read them must be complete."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone: its own local folder can still be emptied
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+    for folder in _OWN_DIRS.values():
+        shutil.rmtree(folder, ignore_errors=True)
+    _OWN_DIRS.clear()
+
+
 def table_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan in bytes; used to decide whether a side may be broadcast."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
