@@ -1,23 +1,24 @@
 """Problem 2: mixed timestamp formats and time zones, normalised to one unambiguous form.
 
 What a value leaves open (zone, order of day and month) comes from the site where the file was taken in. A site without a
-zone gets an estimate: its zone-less local times are aligned with the times at which the files were last modified, under
-the offset history of every candidate zone, and the history with the fewest violations (created after modified, or long
+zone gets an estimate: its zone-less local times, in any written form, are aligned with the times at which the files were
+last modified, under the offset history of every candidate zone (those of the other sites and a given list), and the history with the fewest violations (created after modified, or long
 before) is chosen. The conversion itself runs over Arrow batches; see functions.datetimes.
 """
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.datetimes import normal_form
 from quillspark.session import broadcast_if_small
 
-# Fixed value: zone-less local forms that the estimate aligns with modification times.
-LOCAL_TIME = r"^\s*(\d{4})[-/:](\d\d)[-/:](\d\d)[T ](\d\d):(\d\d):(\d\d)\s*$"
 MAX_GAP_HOURS = 24 * 3650
+MAX_ZONES = 1000  # more names than the zone data base has
 
 
 def normalise(value: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
@@ -30,26 +31,30 @@ def normalise(value: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def local_instant(value: Column) -> Column:
-    """The wall-clock timestamp of a zone-less local time, or null."""
-    text = F.regexp_replace(value, LOCAL_TIME, "$1-$2-$3 $4:$5:$6")
-    return F.when(value.rlike(LOCAL_TIME), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+def local_times(value: pd.Series, order: pd.Series) -> pd.Series:
+    """The wall-clock time of every value with a time of day that names no zone, in any written form; else null."""
+    known: dict[tuple, str | None] = {}
+    out = []
+    for key in zip(value, order.where(order.notna(), None)):
+        if key not in known:
+            form = normal_form(key[0], "UTC", key[1]) if normal_form(key[0], None, key[1]) is None else None
+            known[key] = form[:-1].replace("T", " ") if form and form.endswith("Z") else None
+        out.append(known[key])
+    return pd.Series(out, dtype=object)
 
 
 def estimate_zones(files: DataFrame, sites: DataFrame, candidates: list[str]) -> DataFrame:
-    """(site_id, estimated_zone) for the sites without a zone that have usable local times.
+    """(site_id, estimated_zone) for the sites without a zone that have local times.
 
-    Every local time is converted under each candidate's offset history; a violation is a creation after the
-    modification. Fewest violations win, then the smallest mean gap, then the zone name. The candidates are a parameter
-    list, so the fan-out is bounded, and aggregation is partial before its shuffle.
+    Every zone-less time of creation_date is converted under each candidate's offset history; a violation is a creation
+    after the modification. Fewest violations win, then the smallest mean gap, then the zone name. The candidates are a
+    list of zone names, so the fan-out is bounded, and aggregation is partial before its shuffle.
     """
-    zoneless = sites.filter(F.col("tz_name").isNull()).select("site_id")
-    seen = (
-        files.select("site_id", local_instant(F.col("creation_date")).alias("local"), F.col("modification_date").cast("timestamp").alias("modified"))
-        .filter("local is not null and modified is not null")
-        .join(broadcast_if_small(zoneless), "site_id", "left_semi")
-        .withColumn("zone", F.explode(F.array(*[F.lit(z) for z in candidates])))
-    )
+    zoneless = sites.filter(F.col("tz_name").isNull()).select("site_id", "date_order")
+    parse = F.pandas_udf(local_times, "string").asNondeterministic()
+    near = files.select("site_id", "creation_date", F.col("modification_date").cast("timestamp").alias("modified")).filter("creation_date is not null and modified is not null")
+    seen = near.join(broadcast_if_small(zoneless, like=sites), "site_id").select("site_id", "modified", F.try_to_timestamp(parse("creation_date", "date_order")).alias("local")).filter("local is not null")
+    seen = seen.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in candidates])))
     gap = (F.unix_micros("modified") - F.unix_micros(F.to_utc_timestamp("local", F.col("zone")))) / 3.6e9
     scored = seen.groupBy("site_id", "zone").agg(F.count_if(gap < 0).alias("violations"), F.avg(F.least(F.abs(gap), F.lit(float(MAX_GAP_HOURS)))).alias("gap"))
     return scored.groupBy("site_id").agg(F.min_by("zone", F.struct("violations", "gap", "zone")).alias("estimated_zone"))
@@ -62,8 +67,9 @@ def normalise_dates(files: DataFrame, sites: DataFrame, zone_candidates: list[st
     a site keeps the values that leave nothing open. Null values and null arrays give no row, item_no of later elements
     still counts null elements, repeated rows count once, empty tables give an empty result.
     """
-    candidates = zone_candidates or ["UTC"]
     named = sites.select("site_id", "tz_name", "date_order").dropDuplicates(["site_id"])
+    own = [r.tz_name for r in named.select("tz_name").filter("tz_name is not null").distinct().limit(MAX_ZONES).collect()]
+    candidates = sorted({"UTC", *own, *(zone_candidates or [])} & available_timezones())
     guess = estimate_zones(files, named, candidates)
     places = named.join(guess, "site_id", "left").select("site_id", F.coalesce("tz_name", "estimated_zone").alias("zone"), "date_order")
     one = F.array(F.struct(F.lit("creation_date").alias("field_name"), F.lit(0).cast("bigint").alias("item_no"), F.col("creation_date").alias("value")))
