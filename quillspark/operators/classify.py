@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import broadcast_if_small
+
 # Per category the sets of patterns with the weight of the set, in order of precedence.
 RULES = {
     "contracts": (
@@ -46,6 +48,7 @@ RULES = {
         (0.7, ("hereby", "witness", "notarized")),
     ),
 }
+FLOOR = 0.3  # a category below it is not taken over by classify()
 # Words by which an uncertain text gets a broad category, first list first.
 BROAD = (
     ("financial_documents", "invoice bill payment amount"),
@@ -54,6 +57,7 @@ BROAD = (
     ("personal_documents", "personal private medical health"),
     ("communications", "email letter memo communication"),
 )
+# Words of a name that says nothing about its content.
 GENERIC_NAMES = "document file untitled scan image photo new copy temp draft unknown".split()
 FACTOR_WEIGHTS = {"mixed_signals": 0.3, "sparse_content": 0.2, "ambiguous_filename": 0.15, "missing_metadata": 0.1}
 
@@ -72,9 +76,10 @@ def category_score(low: Column, category: str) -> Column:
     return total / F.lit(float(len(RULES[category])))
 
 
-def rule_scores(df: DataFrame) -> DataFrame:
-    low = df.select("doc_id", F.lower(F.coalesce("content", F.lit(""))).alias("low"))
-    return low.select("doc_id", *[category_score(F.col("low"), c).alias(c) for c in RULES])
+def rule_scores(df: DataFrame, keep: tuple[str, ...] = (), text: str = "content") -> DataFrame:
+    """(doc_id, keep, a column a category); lower-casing is a projection of its own, so it happens once a text."""
+    low = df.select("doc_id", *keep, F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    return low.select("doc_id", *keep, *[category_score(F.col("low"), c).alias(c) for c in RULES])
 
 
 def best_category() -> Column:
@@ -87,9 +92,15 @@ def confidence_level(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "high").when(confidence >= 0.5, "medium").when(confidence >= 0.2, "low").otherwise("very_low")
 
 
-def classified(df: DataFrame) -> DataFrame:
-    """(doc_id, category, confidence, level, method): the progressive classification; below 0.7 the refiner is named."""
-    best = rule_scores(df).select("doc_id", best_category().alias("b")).select("doc_id", "b.category", "b.confidence")
+def others_with_score() -> Column:
+    """How many categories besides the best one have a score at all."""
+    return F.greatest(F.lit(0), sum(((F.col(c) > 0).cast("int") for c in RULES), F.lit(0)) - 1)
+
+
+def classified(df: DataFrame, keep: tuple[str, ...] = (), alternatives: bool = False) -> DataFrame:
+    """(doc_id, keep, category, confidence, level, method): the progressive classification; below 0.7 the refiner is named."""
+    more = [others_with_score().alias("alternatives")] if alternatives else []
+    best = rule_scores(df, keep).select("doc_id", *keep, *more, best_category().alias("b")).select("doc_id", *keep, *(["alternatives"] if alternatives else []), "b.category", "b.confidence")
     return best.withColumn("confidence_level", confidence_level(F.col("confidence"))).withColumn("method", F.when(F.col("confidence") >= 0.7, "rule_based").otherwise("ml_enhanced"))
 
 
@@ -101,31 +112,73 @@ def broad_category(text: Column) -> Column:
     return out
 
 
+def classify(df: DataFrame) -> DataFrame:
+    """(doc_id, category): the best category of name and content together, 'other' below FLOOR."""
+    both = df.select("doc_id", F.concat_ws(" ", F.coalesce("file_name", F.lit("")), F.coalesce("content", F.lit(""))).alias("content"))
+    best = rule_scores(both).select("doc_id", best_category().alias("b"))
+    return best.select("doc_id", F.when(F.col("b.confidence") >= FLOOR, F.col("b.category")).otherwise("other").alias("category"))
+
+
+def ranked(df: DataFrame, first: int = 1, last: int = 3) -> DataFrame:
+    """(doc_id, place, category, score): the categories of each text from place first to last, by score, ties in rule order.
+
+    There are as many categories as rule sets, so ranking sorts a small array within the row and needs no shuffle.
+    """
+    every = F.filter(F.array(*[F.struct((-F.col(c)).alias("minus"), F.lit(i).alias("i"), F.lit(c).alias("category")) for i, c in enumerate(RULES)]), lambda x: x["minus"] < 0)
+    top = rule_scores(df).select("doc_id", F.posexplode(F.slice(F.array_sort(every), first, last - first + 1)).alias("pos", "x"))
+    return top.select("doc_id", (F.col("pos") + first).cast("bigint").alias("place"), "x.category", F.round(-F.col("x.minus"), 9).alias("score"))
+
+
 def refined(df: DataFrame) -> DataFrame:
     """Batch refinement: uncertain texts are told apart by kind, new patterns get a broad category, the rest a boost.
 
-    The refinement runs only if at least ten texts are uncertain, a count over the whole batch.
+    Several other categories with a score make a text ambiguous; it keeps its rule result, since no refiner is installed.
+    A text that gets a new category keeps the old one as alternative. The refinement runs only if at least ten texts are
+    uncertain, a count over the narrow classification of the whole batch.
     """
-    c = classified(df).join(df.select("doc_id", "content"), "doc_id")
-    gate = c.agg((F.count_if(F.col("confidence") < 0.7) >= 10).alias("refine"))
-    kind = F.when(F.length(F.coalesce("content", F.lit(""))) < 50, "insufficient").when(F.col("confidence") < 0.3, "new_pattern").otherwise("quality")
+    c = classified(df, ("content",), alternatives=True)
+    gate = classified(df).agg((F.count_if(F.col("confidence") < 0.7) >= 10).alias("refine"))
+    kind = F.when(F.length(F.coalesce("content", F.lit(""))) < 50, "insufficient").when(F.col("confidence") < 0.3, "new_pattern").when(F.col("alternatives") > 2, "ambiguous").otherwise("quality")
     both = c.crossJoin(F.broadcast(gate)).withColumn("uncertainty", F.when((F.col("confidence") < 0.7) & F.col("refine"), kind))  # one row
     return both.select(
         "doc_id",
         F.when(F.col("uncertainty") == "new_pattern", broad_category(F.col("content"))).otherwise(F.col("category")).alias("category"),
         F.when(F.col("uncertainty") == "new_pattern", 0.4).when(F.col("uncertainty") == "quality", F.least(F.lit(0.6), F.col("confidence") + 0.1)).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(F.col("uncertainty") == "new_pattern", F.col("category")).alias("alternative"),
         F.coalesce("uncertainty", F.lit("certain")).alias("uncertainty"),
     )
 
 
+def disambiguated(base: DataFrame, refiner: DataFrame) -> DataFrame:
+    """Rule results, replaced by the refiner's where it has one for the same id; repeated results of the refiner count once."""
+    better = refiner.groupBy("doc_id").agg(F.max_by(F.struct("category", "confidence"), F.struct("confidence", "category")).alias("r"))
+    both = base.join(better, "doc_id", "left")
+    return both.select("doc_id", F.coalesce("r.category", "category").alias("category"), F.coalesce("r.confidence", "confidence").alias("confidence"), F.col("r").isNotNull().alias("refined"))
+
+
+def by_rule_table(df: DataFrame) -> DataFrame:
+    """The scores as a join: texts against the table of all patterns, then two levels of aggregation; (doc_id, category, score).
+
+    For rule tables that are data rather than code. The table is broadcast while its checked size allows it.
+    """
+    spark = df.sparkSession
+    rows = [(c, i, len(sets), w, len(ps), p) for c, sets in RULES.items() for i, (w, ps) in enumerate(sets) for p in ps]
+    table = spark.createDataFrame(rows, "category string, rule_set int, sets int, weight double, patterns int, pattern string")
+    low = df.select("doc_id", F.lower(F.coalesce("content", F.lit(""))).alias("low"))
+    hits = low.join(broadcast_if_small(table), F.expr("low RLIKE pattern")).groupBy("doc_id", "category", "rule_set").agg((F.count(F.lit(1)) / F.first("patterns") * F.first("weight")).alias("s"), F.first("sets").alias("sets"))
+    return hits.groupBy("doc_id", "category").agg(F.round(F.sum("s") / F.first("sets"), 9).alias("score"))
+
+
 def factors(df: DataFrame) -> DataFrame:
-    """The four factors of uncertainty of a classified text. df: content, file_name, confidence, has_dates, has_amounts."""
+    """The four factors of uncertainty of a classified text. df: content, file_name, confidence, has_dates, has_amounts,
+    has_entities. Without content there are no metadata at all, which counts 0.8.
+    """
     text, name = F.coalesce("content", F.lit("")), F.lower(F.coalesce("file_name", F.lit("")))
     n_words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     total = F.length(text) + F.length(name)
     bare = F.replace(name, F.lit(".pdf"), F.lit(""))
-    missing = (
-        F.lit(0.3)
+    missing = F.when(F.col("content").isNull(), 0.8).otherwise(
+        F.when(F.col("has_entities"), 0.0).otherwise(0.3)
         + F.when(F.col("has_dates"), 0.0).otherwise(0.2)
         + F.when(F.lower(text).rlike(r"invoice|payment|bill|\$") & ~F.col("has_amounts"), 0.3).otherwise(0.0)
         + F.when(n_words < 20, 0.2).otherwise(0.0)

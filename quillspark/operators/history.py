@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -81,3 +81,37 @@ def reorganise(sessions: DataFrame, margin: float = 0.15) -> DataFrame:
     both = per.crossJoin(F.broadcast(whole))  # one row
     gain = (F.col("mean") - F.col("overall")) / F.col("overall")
     return both.select("structure_type", "n", F.round(gain, 6).alias("gain"), F.coalesce(gain >= margin, F.lit(False)).alias("recommended"))
+
+
+def learned_patterns(corrections: DataFrame) -> DataFrame:
+    """(pattern_type, category, n): corrections strengthen the category they lead to and weaken the one they leave.
+
+    Repeated rows of a correction count once, null categories not at all.
+    """
+    c = corrections.dropDuplicates(["correction_id"])
+    both = c.select(F.explode(F.array(*[F.struct(F.lit(k).alias("pattern_type"), F.col(v).alias("category")) for k, v in (("category_strengthening", "to_category"), ("category_weakening", "from_category"))])).alias("p")).select("p.*")
+    return both.filter("category is not null").groupBy("pattern_type", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pattern_success(results: DataFrame, corrections: DataFrame, least: float = 0.8, kept: int = 100) -> DataFrame:
+    """(outcome, pattern_type, n): how many patterns of each type succeed or fail; of sure results at most the kept ones count."""
+    sure = results.filter(F.col("confidence") >= least).agg(F.least(F.count_distinct("result_id"), F.lit(kept)).alias("n")).select(F.lit("successful").alias("outcome"), F.lit("high_confidence_rules").alias("pattern_type"), F.col("n").cast("bigint").alias("n"))
+    weak = learned_patterns(corrections).filter("pattern_type = 'category_weakening'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("failed").alias("outcome"), F.lit("category_weakening").alias("pattern_type"), "n")
+    wrong = results.filter("category is null").agg(F.count_distinct("result_id").alias("n")).select(F.lit("failed").alias("outcome"), F.lit("failed_classifications").alias("pattern_type"), "n")
+    return sure.unionByName(weak).unionByName(wrong)
+
+
+# The tables of the history and their columns.
+HISTORY_TABLES = {
+    "organization_history": "session_id string, session_time timestamp, documents_processed bigint, success_rate double, structure_type string, quality_score double, metadata string",
+    "category_history": "session_id string, category string, document_count bigint, average_confidence double",
+    "user_corrections": "file_name string, from_category string, to_category string, session_id string, correction_time timestamp",
+}
+
+
+def ensure_history(spark: SparkSession, folder: str) -> DataFrame:
+    """(table, position, column, type) of the history tables under a folder, made where they are missing; safe to repeat."""
+    for name, columns in HISTORY_TABLES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{folder.rstrip('/')}/{name}'")
+    rows = [(name, i, c.split()[0], c.split()[1]) for name in HISTORY_TABLES for i, c in enumerate(f"{f.name} {f.dataType.simpleString()}" for f in spark.table(name).schema)]
+    return spark.createDataFrame(rows, "table string, position bigint, column string, type string")

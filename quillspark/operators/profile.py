@@ -45,23 +45,30 @@ def mime_type(name: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv]), extension(name))
 
 
+def line_count(text: Column) -> Column:
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+
+
+def paragraph_count(text: Column) -> Column:
+    """Parts between blank lines that are not blank themselves."""
+    return F.size(F.filter(F.split(text, "\n\n"), lambda p: p.rlike(r"\S"))).cast("bigint")
+
+
 def content_counts(df: DataFrame, text: str = "content") -> DataFrame:
-    """Length, words, lines and paragraphs. Null counts as empty: 0 words, 1 line, 0 paragraphs."""
+    """Length, words, lines and paragraphs; all 0 for null and empty texts."""
     t = F.coalesce(F.col(text), F.lit(""))
     return df.select(
         "doc_id",
         F.length(t).cast("bigint").alias("content_length"),
         F.size(words(t)).cast("bigint").alias("word_count"),
-        F.size(F.split(t, "\n")).cast("bigint").alias("line_count"),
-        F.size(F.filter(F.split(t, "\n\n"), lambda p: F.length(F.regexp_replace(p, r"\s", "")) > 0)).cast("bigint").alias("paragraph_count"),
+        line_count(t).alias("line_count"),
+        paragraph_count(t).alias("paragraph_count"),
     )
 
 
 def any_match(text: Column, patterns) -> Column:
-    low, out = F.lower(text), F.lit(False)
-    for p in patterns:
-        out = out | low.rlike(p.lower())
-    return out
+    """Whether one of the patterns occurs, whatever the case: one search for the alternatives."""
+    return F.lower(text).rlike("|".join(p.lower() for p in patterns))
 
 
 def has_headers(text: Column) -> Column:
@@ -103,48 +110,76 @@ def entities(df: DataFrame, text: str = "content") -> DataFrame:
     )
 
 
+def readability_of(words_: Column, letters: Column, marks: Column, empty: Column) -> Column:
+    """readability() from counts: words, their characters in all, sentence marks, and whether the text is null or empty."""
+    score = 100 - (words_ / marks) * 1.5 - F.when(words_ > 0, letters / words_).otherwise(0.0) * 5
+    return F.when(empty, None).when(marks == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
+
+
 def readability(text: Column) -> Column:
     """clamp(100 - 1.5 words/sentences - 5 mean word length); null for null and empty, 0 without a sentence mark."""
-    w = words(text)
-    n = F.size(w)
-    marks = F.length(F.regexp_replace(text, "[^.!?]", ""))
-    mean = F.when(n > 0, F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / n).otherwise(0.0)
-    score = 100 - (n / marks) * 1.5 - mean * 5
-    return F.when(text.isNull() | (text == ""), None).when(marks == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
+    letters = F.length(F.regexp_replace(text, r"\s+", ""))
+    marks = F.length(F.regexp_replace(text, "[^.!?]+", ""))
+    return readability_of(F.regexp_count(text, F.lit(r"\S+")), letters, marks, text.isNull() | (text == ""))
 
 
-def marker_count(text: Column, lang: str) -> Column:
-    low = F.lower(text)
+def marker_count(low: Column, lang: str) -> Column:
     out = F.lit(0)
     for w in LANGUAGE_MARKERS[lang].split():
         out = out + F.contains(low, F.lit(w)).cast("int")
     return out
 
 
+def language_of(counts: dict[str, Column]) -> Column:
+    best = F.greatest(*counts.values())
+    out = F.lit("unknown")
+    for lang, n in reversed(counts.items()):
+        out = F.when(n == best, lang).otherwise(out)
+    return F.when(best >= 3, out).otherwise("unknown")
+
+
 def language_guess(text: Column) -> Column:
     """Language with most marker substrings if at least 3, else 'unknown'; null under 50 characters."""
-    ranked = [F.struct(marker_count(text, lang).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, lang in enumerate(LANGUAGE_MARKERS)]
+    ranked = [F.struct(marker_count(F.lower(text), lang).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, lang in enumerate(LANGUAGE_MARKERS)]
     best = F.array_max(F.array(*ranked))
     return F.when(text.isNull() | (F.length(F.trim(text)) < 50), None).when(best["n"] >= 3, best["lang"]).otherwise("unknown")
 
 
 def comprehensive(df: DataFrame) -> DataFrame:
-    """All profile columns of a document in one projection; Catalyst shares the repeated expressions."""
+    """All profile columns of a document; the error row (quality 'failed', counts 0) where there is no content.
+
+    Steps are columns of a projection below, so that lower-casing, word and marker counts are computed once a text.
+    """
     t = F.coalesce(F.col("content"), F.lit(""))
-    marks = [p for p, _ in DATE_PATTERNS]
-    return df.select(
+    base = df.select(
+        "doc_id", "file_name", "file_size", "content", t.alias("t"), F.lower(t).alias("low"),
+        F.regexp_count(t, F.lit(r"\S+")).alias("n_words"), F.length(F.regexp_replace(t, r"\s+", "")).alias("letters"), F.length(F.regexp_replace(t, "[^.!?]+", "")).alias("marks"),
+    )
+    base = base.select("*", *[marker_count(F.col("low"), lang).alias(f"m_{lang}") for lang in LANGUAGE_MARKERS])
+    t, low = F.col("t"), F.col("low")
+
+    def search(patterns) -> Column:
+        return low.rlike("|".join(p.lower() for p in patterns))
+
+    found_ = [F.array_join(found(t, p, fold), "|").alias(n) for n, p, fold in (("dates_found", DATE_PATTERNS, True), ("numbers_found", NUMBER_PATTERNS, False), ("currency_found", CURRENCY_PATTERNS, True))]
+    return base.select(
         "doc_id",
         "file_name",
+        "file_size",
         extension(F.col("file_name")).alias("file_extension"),
         mime_type(F.col("file_name")).alias("mime_type"),
         F.length(t).cast("bigint").alias("content_length"),
-        F.size(words(t)).cast("bigint").alias("word_count"),
+        F.col("n_words").cast("bigint").alias("word_count"),
+        line_count(t).alias("line_count"),
+        paragraph_count(t).alias("paragraph_count"),
         has_headers(t).alias("has_headers"),
-        any_match(t, marks).alias("has_dates"),
-        any_match(t, CURRENCY_FLAGS).alias("has_currency"),
-        t.rlike(r"\d+").alias("has_numbers"),
-        F.round(readability(F.col("content")), 6).alias("readability_score"),
-        language_guess(F.col("content")).alias("language"),
+        search([p for p, _ in DATE_PATTERNS]).alias("has_dates"),
+        search(CURRENCY_FLAGS).alias("has_currency"),
+        t.rlike(r"\d").alias("has_numbers"),
+        F.round(readability_of(F.col("n_words"), F.col("letters"), F.col("marks"), t == ""), 6).alias("readability_score"),
+        F.when(F.length(F.trim(t)) < 50, None).otherwise(language_of({k: F.col(f"m_{k}") for k in LANGUAGE_MARKERS})).alias("language"),
+        *found_,
+        F.when(F.col("content").isNull(), "failed").alias("error_quality"),
     )
 
 
@@ -171,7 +206,7 @@ def document_type(df: DataFrame) -> DataFrame:
     scores = {
         "financial": plus(F.col("has_currency"), 0.4) + plus(F.col("has_numbers"), 0.2) + speaks("financial"),
         "legal": speaks("legal") + plus(F.col("word_count") > 500, 0.2) + plus(F.col("has_dates"), 0.2),
-        "personal": speaks("personal") + plus(F.col("content_length") < 1024 * 1024, 0.2),
+        "personal": speaks("personal") + plus(F.col("file_size") < 1024 * 1024, 0.2),
         "technical": speaks("technical") + plus(F.col("word_count") > 1000, 0.2) + plus(F.col("has_headers"), 0.2),
     }
     best = F.array_max(F.array(*[F.struct(F.round(s, 6).alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, s) in enumerate(scores.items())]))

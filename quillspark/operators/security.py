@@ -36,6 +36,7 @@ INJECTION = (
     r"pretend\s+(?:to\s+be|you\s+are)",
     r"act\s+like\s+(?:a|an)\s+(?:hacker|admin|root)",
 )
+NOT_PRINTABLE = r"[\p{C}\p{Z}&&[^ \n\t]]"
 SCRIPTS = (r"<script[^>]*>.*?</script>", "javascript:", "vbscript:", "data:text/html", r"eval\s*\(", r"exec\s*\(")
 DANGEROUS = (r"<script.*?>.*?</script>", "javascript:", "data:.*base64,", r"on\w+\s*=", r"expression\s*\(", r"@import\s+", r"\\x[0-9a-fA-F]{2}", "%[0-9a-fA-F]{2}")
 SUSPICIOUS_PATHS = (r"\.\.[\\/]", "%2e%2e", "%252e%252e", "%00")
@@ -52,7 +53,7 @@ LOG_SECRETS = (
 SECRET_KEYS = ("API_KEY", "SECRET", "TOKEN", "PASSWORD", "PRIVATE_KEY", "AUTH")
 # Keywords of documents that act on their own.
 INDICATORS = {
-    "javascript": "/JS",
+    "javascript": "/(?:JS|JavaScript)",
     "open_action": "/OpenAction",
     "additional_actions": "/AA",
     "embedded_files": "/EmbeddedFile",
@@ -102,10 +103,10 @@ def any_of(patterns) -> str:
 
 
 def model_input(text: Column) -> Column:
-    """(status, text): content cut to 4096, refused where it tries to give instructions, else on one line."""
+    """(status, text): content cut to 4096, refused where it tries to give instructions, else printable and on one line."""
     cut = F.substring(F.coalesce(text, F.lit("")), 1, 4096)
     bad = cut.rlike("(?iu)" + any_of(INJECTION))
-    return F.struct(F.when(bad, "refused").otherwise("ok").alias("status"), F.when(~bad, F.trim(F.regexp_replace(cut, r"\s+", " "))).alias("text"))
+    return F.struct(F.when(bad, "refused").otherwise("ok").alias("status"), F.when(~bad, F.trim(F.regexp_replace(F.regexp_replace(cut, NOT_PRINTABLE, ""), r"\s+", " "))).alias("text"))
 
 
 def script_check(text: Column) -> Column:
@@ -155,6 +156,27 @@ def threat_level(n: dict[str, Column]) -> Column:
     return F.when(high >= 2, "high").when((high >= 1) | (medium >= 3), "medium").when(medium >= 1, "low").otherwise("safe")
 
 
+# How the summary names each indicator, in order.
+THREAT_NAMES = (
+    ("javascript", "JavaScript code"),
+    ("launch_action", "Launch actions"),
+    ("embedded_files", "Embedded files"),
+    ("open_action", "Auto-open actions"),
+    ("uri_references", "External URI references"),
+    ("submit_form", "Form submissions"),
+)
+
+
+def threat_summary(n: dict[str, Column], level: Column) -> Column:
+    named = F.array_compact(F.array(*[F.when(n[k] > 0, F.concat(F.lit(name + " ("), n[k].cast("string"), F.lit(" instances)"))) for k, name in THREAT_NAMES]))
+    some = F.concat(F.lit("Potential threats detected: "), F.array_join(named, ", "))
+    return F.when(level == "safe", "PDF appears safe - no suspicious indicators detected").when(F.size(named) > 0, some).otherwise(F.concat(F.lit("PDF has "), level, F.lit(" risk indicators")))
+
+
 def threats(df: DataFrame) -> DataFrame:
+    """Counts of the indicators, threat level and summary. Content that cannot be read (null) has level 'low', not 'safe'."""
     n = indicators(F.col("content"))
-    return df.select("doc_id", *[c.alias(k) for k, c in n.items()], threat_level(n).alias("threat_level"))
+    counted = df.select("doc_id", *[c.alias(k) for k, c in n.items()], F.col("content").isNull().alias("unread"))
+    n = {k: F.col(k) for k in n}
+    level = F.when(F.col("unread"), "low").otherwise(threat_level(n))
+    return counted.select("doc_id", *n, level.alias("threat_level"), F.when(F.col("unread"), "PDF has low risk indicators").otherwise(threat_summary(n, level)).alias("summary"))

@@ -42,9 +42,11 @@ def span(dated: DataFrame) -> DataFrame:
 
 
 def peaks(dated: DataFrame) -> DataFrame:
-    """(grain, period, n) of the busiest month and quarter; ties to the earlier period."""
+    """(grain, period, name, n) of the busiest month and quarter; ties to the earlier period."""
     d = distribution(dated).filter("grain <> 'year'")
-    return d.groupBy("grain").agg(F.min_by("period", F.struct(-F.col("n"), F.col("period"))).alias("period"), F.max("n").alias("n"))
+    t = d.groupBy("grain").agg(F.min_by("period", F.struct(-F.col("n"), F.col("period"))).alias("period"), F.max("n").alias("n"))
+    month = F.date_format(F.make_date(F.lit(2000), F.col("period").cast("int"), F.lit(1)), "MMMM")
+    return t.select("grain", "period", F.when(F.col("grain") == "month", month).otherwise(F.concat(F.lit("Q"), F.col("period").cast("string"))).alias("name"), "n")
 
 
 def seasonal(dated: DataFrame) -> DataFrame:
@@ -62,8 +64,11 @@ def overall_season(dated: DataFrame) -> DataFrame:
     return t.filter("total > 0").select(F.concat(F.lit("Q"), F.col("peak").cast("string")).alias("peak_quarter"), F.round(F.col("top") / F.col("total") * 100, 6).alias("peak_percentage"), F.when(F.col("quarters") < 2, 0.0).otherwise(F.round(F.least(F.lit(1.0), F.col("cv")), 6)).alias("seasonal_strength"))
 
 
-def fiscal_inference(dated: DataFrame) -> DataFrame:
-    """One row: scores of the fiscal years by month, the best (ties to the earlier), and a confidence without hints."""
+def fiscal_inference(dated: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """One row: scores of the fiscal years by month, the best (ties to the earlier), and a confidence.
+
+    hints: a row for each text that names a fiscal year; they count against the dates in the confidence.
+    """
     m = F.month("dt")
     t = dated.filter("dt is not null").agg(
         (F.count_if(m == 4) + F.count_if(m == 3)).cast("double").alias("financial"),
@@ -71,10 +76,13 @@ def fiscal_inference(dated: DataFrame) -> DataFrame:
         (F.count_if(m == 9) + F.count_if(m == 10)).cast("double").alias("federal"),
         (F.count(F.lit(1)) / 12).alias("calendar"),
         F.count_distinct(m).alias("months"),
+        F.count("dt").alias("dates"),
     )
+    t = t.crossJoin(hints.agg(F.count(F.lit(1)).alias("hints")) if hints is not None else t.sparkSession.range(1).select(F.lit(0).alias("hints")))  # one row
+    hinted = F.when(F.col("hints") > 0, F.col("hints") / (F.col("hints") + F.col("dates"))).otherwise(0.0)
     order = ("financial", "academic", "federal", "calendar")
     best = F.array_max(F.array(*[F.struct(F.col(k).alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(order)]))["k"]
-    return t.select(*[F.round(k, 6).alias(k) for k in order], F.when(F.col("months") == 0, "calendar").otherwise(best).alias("fiscal_type"), F.round(F.least(F.lit(1.0), F.col("months") / 12.0 * 2) * 0.3, 6).alias("confidence"))
+    return t.select(*[F.round(k, 6).alias(k) for k in order], F.when(F.col("months") == 0, "calendar").otherwise(best).alias("fiscal_type"), F.round(hinted * 0.7 + F.least(F.lit(1.0), F.col("months") / 12.0 * 2) * 0.3, 6).alias("confidence"))
 
 
 def fiscal_structure(dated: DataFrame, fiscal_type: str) -> DataFrame:
@@ -131,3 +139,40 @@ def cycles(dated: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     t = t.filter((F.col("total") > 2) & (F.size("ms") >= 3)).withColumn("steps", F.array_distinct(steps)).filter(F.size("steps") <= 2)
     kind = F.when(F.size("steps") == 1, F.concat(F.lit("every_"), F.element_at("steps", 1).cast("string"), F.lit("_months"))).otherwise("variable_cycle")
     return t.select("category", kind.alias("cycle_type"), F.array_join(F.transform("top", lambda x: x["m"].cast("string")), ",").alias("peak_months"))
+
+
+def temporal_confidence(dated: DataFrame) -> DataFrame:
+    """One row: share of documents with a date, mean quality of the dates, strength of the monthly pattern, and their sum.
+
+    dated: (dt, quality); a null quality counts 0.5. Zeros where there are no documents.
+    """
+    with_date = F.col("dt").isNotNull()
+    t = dated.agg(F.count(F.lit(1)).alias("n"), F.count_if(with_date).alias("k"), F.avg(F.when(with_date, F.coalesce("quality", F.lit(0.5)))).alias("q"))
+    months = dated.filter(with_date).groupBy(F.month("dt").alias("m")).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.stddev_pop("c") / F.avg("c"), F.lit(0.0)).alias("cv"))
+    both = t.crossJoin(months)  # one row each
+    coverage = F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0)
+    quality = F.coalesce("q", F.lit(0.0))
+    strength = F.when(F.col("k") < 2, 0.0).otherwise(F.least(F.lit(1.0), F.col("cv") * 0.5))
+    parts = {"date_coverage": coverage, "average_date_quality": quality, "pattern_strength": strength, "overall_confidence": coverage * 0.4 + quality * 0.3 + strength * 0.3}
+    return both.select(*[F.round(c, 6).alias(k) for k, c in parts.items()])
+
+
+def advice(dated: DataFrame) -> DataFrame:
+    """(source, advice): what span, seasons, fiscal year and rhythms of the documents recommend; one row of doubt if nothing does."""
+    s = span(dated).select(F.when(F.col("span_years") > 5, "Long time span detected - consider year-based primary organization").when(F.col("span_years") < 1, "Recent documents - consider month/quarter organization").alias("span"))
+    shown = F.col("pattern_detected") & (F.col("pattern_strength") > 0.6)
+    strong = seasonal(dated).agg(F.count(F.lit(1)).alias("seasons"), F.count_if(shown).alias("strong"), F.min(F.when(shown, F.col("category"))).alias("one"))
+    f = fiscal_inference(dated).select("fiscal_type", "confidence")
+    w = workflows(dated).agg(F.count(F.lit(1)).alias("rhythms"), F.count_if((F.col("workflow_type") != "irregular") & (F.col("interval_consistency") > 0.7)).alias("regular"))
+    both = s.crossJoin(strong).crossJoin(f).crossJoin(w)  # one row each
+    said = F.array_compact(F.array(
+        F.when(F.col("span").isNotNull(), F.struct(F.lit("span").alias("source"), F.col("span").alias("advice"))),
+        F.when(F.col("seasons") > 2, F.struct(F.lit("seasons").alias("source"), F.lit("Strong seasonal patterns - organize by business quarters within years").alias("advice"))),
+        F.when(F.col("strong") >= 2, F.struct(F.lit("categories").alias("source"), F.lit("Multiple categories show strong seasonal patterns - consider quarterly organization").alias("advice"))),
+        F.when(F.col("strong") == 1, F.struct(F.lit("categories").alias("source"), F.concat("one", F.lit(" shows seasonal pattern - organize by business quarters")).alias("advice"))),
+        F.when((F.col("confidence") > 0.8) & (F.col("fiscal_type") != "calendar"), F.struct(F.lit("fiscal").alias("source"), F.concat(F.lit("Use "), "fiscal_type", F.lit(" fiscal year structure for better business alignment")).alias("advice"))),
+        F.when(F.col("rhythms") > 3, F.struct(F.lit("workflows").alias("source"), F.lit("Multiple workflow patterns detected - consider category-first organization").alias("advice"))),
+        F.when(F.col("regular") > 1, F.struct(F.lit("regular").alias("source"), F.lit("Multiple regular workflows detected - organize by workflow pattern").alias("advice"))),
+    ))
+    doubt = F.array(F.struct(F.lit("none").alias("source"), F.lit("Temporal patterns are weak - rely on rule-based and ML classification").alias("advice")))
+    return both.select(F.explode(F.when(F.size(said) > 0, said).otherwise(doubt)).alias("r")).select("r.source", "r.advice")

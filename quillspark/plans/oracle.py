@@ -46,8 +46,11 @@ def language() -> str:
 
 DATES = [p for p, _ in profile.DATE_PATTERNS]
 HAS_DATES, HAS_MONEY = any_of("t", DATES), any_of("t", profile.CURRENCY_FLAGS)
+HAS_PAID = any_of("t", [p for p, _ in profile.CURRENCY_PATTERNS])
 HAS_NUMBERS = r"regexp_matches(t, '\d+')"
-FULL = f"doc_id, file_name, {EXT} AS file_extension, {MIME} AS mime_type, len(t) AS content_length, len({WORDS}) AS word_count, {HEADERS} AS has_headers, {HAS_DATES} AS has_dates, {HAS_MONEY} AS has_currency, {HAS_NUMBERS} AS has_numbers, round({READABILITY}, 6) AS readability_score, {language()} AS language"
+COUNTS = rf"len(t) AS content_length, len({WORDS}) AS word_count, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS line_count, len(list_filter(string_split(t, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S'))) AS paragraph_count"
+FOUND = f"{find('t', profile.DATE_PATTERNS, 'i')} AS dates_found, {find('t', profile.NUMBER_PATTERNS, 'c')} AS numbers_found, {find('t', profile.CURRENCY_PATTERNS, 'i')} AS currency_found, CASE WHEN content IS NULL THEN 'failed' END AS error_quality"
+FULL = f"doc_id, file_name, file_size, {EXT} AS file_extension, {MIME} AS mime_type, {COUNTS}, {HEADERS} AS has_headers, {HAS_DATES} AS has_dates, {HAS_MONEY} AS has_currency, {HAS_NUMBERS} AS has_numbers, round({READABILITY}, 6) AS readability_score, {language()} AS language, {FOUND}"
 
 
 def document_type() -> str:
@@ -61,7 +64,7 @@ def document_type() -> str:
     scores = {
         "financial": plus("has_currency", 0.4) + " + " + plus("has_numbers", 0.2) + " + " + says("financial"),
         "legal": says("legal") + " + " + plus("word_count > 500", 0.2) + " + " + plus("has_dates", 0.2),
-        "personal": says("personal") + " + " + plus("content_length < 1048576", 0.2),
+        "personal": says("personal") + " + " + plus("file_size < 1048576", 0.2),
         "technical": says("technical") + " + " + plus("word_count > 1000", 0.2) + " + " + plus("has_headers", 0.2),
     }
     cols = ", ".join(f"round({s}, 6) AS s_{k}" for k, s in scores.items())
@@ -111,14 +114,21 @@ def chain(text: str, steps, options: str) -> str:
 
 LOG = chain("content", [(p, r.replace("$1", r"\1")) for p, r in security.LOG_SECRETS], "g")
 DANGERS = rf"regexp_replace(regexp_replace(regexp_replace({chain('t', [(p, '[REMOVED]') for p in security.DANGEROUS], 'gis')}, '\r\n|\r', chr(10), 'g'), '\n\s*\n\s*\n', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g')"
-INDICATORS = {k: rf"len(regexp_extract_all(t, '{p}\b'))" for k, p in security.INDICATORS.items()}
+INDICATORS = {
+    "javascript": "len(regexp_extract_all(t, '/JS\\b')) + len(regexp_extract_all(t, '/JavaScript\\b'))",
+    **{k: rf"len(regexp_extract_all(t, '{p}\b'))" for k, p in {"open_action": "/OpenAction", "additional_actions": "/AA", "embedded_files": "/EmbeddedFile", "xfa_forms": "/XFA", "uri_references": "/URI", "submit_form": "/SubmitForm", "launch_action": "/Launch"}.items()},
+}
 
 
 def threats() -> str:
     cols = ", ".join(f"{v} AS {k}" for k, v in INDICATORS.items())
     high = "(javascript > 0)::INT + 2 * (launch_action > 0)::INT + (embedded_files > 0)::INT"
     medium = " + ".join(f"({k} > 0)::INT" for k in ("open_action", "additional_actions", "uri_references", "submit_form", "xfa_forms"))
-    return f"{corpus_cte()}{BASE}, n AS (SELECT doc_id, {cols} FROM b) SELECT *, CASE WHEN {high} >= 2 THEN 'high' WHEN {high} >= 1 OR {medium} >= 3 THEN 'medium' WHEN {medium} >= 1 THEN 'low' ELSE 'safe' END AS threat_level FROM n"
+    level = f"CASE WHEN unread THEN 'low' WHEN {high} >= 2 THEN 'high' WHEN {high} >= 1 OR {medium} >= 3 THEN 'medium' WHEN {medium} >= 1 THEN 'low' ELSE 'safe' END"
+    said = {"javascript": "JavaScript code", "launch_action": "Launch actions", "embedded_files": "Embedded files", "open_action": "Auto-open actions", "uri_references": "External URI references", "submit_form": "Form submissions"}
+    parts = ", ".join(f"CASE WHEN {k} > 0 THEN '{v} (' || {k} || ' instances)' END" for k, v in said.items())
+    summary = f"CASE WHEN threat_level = 'safe' THEN 'PDF appears safe - no suspicious indicators detected' WHEN NOT unread AND concat_ws(', ', {parts}) <> '' THEN 'Potential threats detected: ' || concat_ws(', ', {parts}) ELSE 'PDF has ' || threat_level || ' risk indicators' END"
+    return f"{corpus_cte()}{BASE}, n AS (SELECT doc_id, content IS NULL AS unread, {cols} FROM b), l AS (SELECT *, {level} AS threat_level FROM n) SELECT * EXCLUDE (unread), {summary} AS summary FROM l"
 
 
 def category_score(category: str) -> str:
@@ -131,17 +141,17 @@ def category_score(category: str) -> str:
 
 SCORES = ", sc AS (SELECT doc_id, content, t, file_name, " + ", ".join(f"{category_score(c)} AS {c}" for c in classify.RULES) + " FROM b)"
 TOP = "greatest(" + ", ".join(classify.RULES) + ")"
-CLASSIFIED = SCORES + f", k AS (SELECT doc_id, content, t, file_name, CASE WHEN {TOP} = 0 THEN 'other' " + " ".join(f"WHEN {c} = {TOP} THEN '{c}'" for c in classify.RULES) + f" END AS category, {TOP} AS confidence FROM sc)"
+CLASSIFIED = SCORES + f", k AS (SELECT doc_id, content, t, file_name, CASE WHEN {TOP} = 0 THEN 'other' " + " ".join(f"WHEN {c} = {TOP} THEN '{c}'" for c in classify.RULES) + f" END AS category, {TOP} AS confidence, greatest(0, " + " + ".join(f"({c} > 0)::INT" for c in classify.RULES) + " - 1) AS alternatives FROM sc)"
 LEVEL = "CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' WHEN confidence >= 0.2 THEN 'low' ELSE 'very_low' END"
 BROAD = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in words.split()) + f" THEN '{name}'" for name, words in classify.BROAD) + " ELSE 'miscellaneous_documents' END"
-REFINED = f", g AS (SELECT count(*) FILTER (confidence < 0.7) >= 10 AS go FROM k), u AS (SELECT k.*, CASE WHEN confidence >= 0.7 OR NOT go THEN 'certain' WHEN len(t) < 50 THEN 'insufficient' WHEN confidence < 0.3 THEN 'new_pattern' ELSE 'quality' END AS uncertainty FROM k, g)"
+REFINED = f", g AS (SELECT count(*) FILTER (confidence < 0.7) >= 10 AS go FROM k), u AS (SELECT k.*, CASE WHEN confidence >= 0.7 OR NOT go THEN 'certain' WHEN len(t) < 50 THEN 'insufficient' WHEN confidence < 0.3 THEN 'new_pattern' WHEN alternatives > 2 THEN 'ambiguous' ELSE 'quality' END AS uncertainty FROM k, g)"
 GENERIC = " OR ".join(f"contains(fn, '{w}')" for w in classify.GENERIC_NAMES)
 BARE = "replace(fn, '.pdf', '')"
 FACTORS = f""", v AS (SELECT *, lower(coalesce(file_name, '')) AS fn, len({WORDS}) AS nw FROM k), fa AS (SELECT doc_id, confidence,
  CASE WHEN confidence BETWEEN 0.4 AND 0.7 THEN (0.7::DOUBLE - confidence) / 0.3::DOUBLE ELSE 0.0 END AS mixed_signals,
  (CASE WHEN len(t) + len(fn) < 50 THEN 0.8 WHEN len(t) + len(fn) < 100 OR nw < 10 THEN 0.5 WHEN nw < 20 THEN 0.3 ELSE 0.0 END)::DOUBLE AS sparse_content,
  (CASE WHEN fn = '' THEN 0.8 WHEN {GENERIC} THEN 0.6 WHEN regexp_matches({BARE}, '^[0-9\\-_.]+$') THEN 0.4 WHEN len({BARE}) < 5 THEN 0.3 ELSE 0.0 END)::DOUBLE AS ambiguous_filename,
- least(1.0::DOUBLE, 0.3::DOUBLE + (CASE WHEN {HAS_DATES} THEN 0.0 ELSE 0.2 END)::DOUBLE + (CASE WHEN regexp_matches(lower(t), 'invoice|payment|bill|\\$') AND NOT regexp_matches(t, '\\$[\\d,]+\\.?\\d*') THEN 0.3 ELSE 0.0 END)::DOUBLE + (CASE WHEN nw < 20 THEN 0.2 ELSE 0.0 END)::DOUBLE) AS missing_metadata FROM v),
+ CASE WHEN content IS NULL THEN 0.8::DOUBLE ELSE least(1.0::DOUBLE, (CASE WHEN {HAS_DATES} OR {HAS_PAID} THEN 0.0 ELSE 0.3 END)::DOUBLE + (CASE WHEN {HAS_DATES} THEN 0.0 ELSE 0.2 END)::DOUBLE + (CASE WHEN regexp_matches(lower(t), 'invoice|payment|bill|\\$') AND NOT regexp_matches(t, '\\$[\\d,]+\\.?\\d*') THEN 0.3 ELSE 0.0 END)::DOUBLE + (CASE WHEN nw < 20 THEN 0.2 ELSE 0.0 END)::DOUBLE) END AS missing_metadata FROM v),
  un AS (SELECT *, least(1.0::DOUBLE, 1.0::DOUBLE - confidence + mixed_signals * 0.3::DOUBLE + sparse_content * 0.2::DOUBLE + ambiguous_filename * 0.15::DOUBLE + missing_metadata * 0.1::DOUBLE) AS uncertainty_score, confidence >= 0.7 AS certain FROM fa)"""
 
 RESULTS = "res AS (SELECT DISTINCT ON (result_id) * FROM classification_results)"
@@ -162,13 +172,12 @@ def gap_stats(keys: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     ent = f"doc_id, {find('t', profile.DATE_PATTERNS, 'i')} AS dates_found, {find('t', profile.NUMBER_PATTERNS, 'c')} AS numbers_found, {find('t', profile.CURRENCY_PATTERNS, 'i')} AS currency_found"
+    printable = r"regexp_replace(left(t, 4096), '[\x00-\x08\x0B-\x1F\x7F-\x9F\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', '', 'g')"
     inj, scr = any_of("left(t, 4096)", security.INJECTION), any_of("left(t, 8192)", security.SCRIPTS, "is")
-    amounts = r"list_filter(list_transform(flatten([regexp_extract_all(t, '\$[\d,]+\.?\d*', 0, 'i'), regexp_extract_all(t, '[\d,]+\.\d{2}\s*(?:USD|dollars?)', 0, 'i'), regexp_extract_all(t, 'amount[:\s]+\$?[\d,]+\.?\d*', 0, 'i')]), lambda a: TRY_CAST(regexp_replace(a, '[^0-9.]', '', 'g') AS DOUBLE)), lambda v: v IS NOT NULL)"
-    fy, spelled = r"regexp_extract(t, 'fy[\s-]?(\d{2,4})', 1, 'i')", r"regexp_extract(t, 'fiscal\s+year\s+(\d{2,4})', 1, 'i')"
     p = r"replace(file_name, '\', '/')"
     return {
         "T01_file_metadata": on_corpus(f"doc_id, {EXT} AS file_extension, {MIME} AS mime_type"),
-        "T02_content_counts": on_corpus(rf"doc_id, len(t) AS content_length, len({WORDS}) AS word_count, len(string_split(t, chr(10))) AS line_count, len(list_filter(string_split(t, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S'))) AS paragraph_count"),
+        "T02_content_counts": on_corpus(rf"doc_id, len(t) AS content_length, len({WORDS}) AS word_count, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS line_count, len(list_filter(string_split(t, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S'))) AS paragraph_count"),
         "T03_T04_structure_flags": on_corpus(f"doc_id, {HEADERS} AS has_headers, {HAS_NUMBERS} AS has_numbers, {HAS_DATES} AS has_dates, {HAS_MONEY} AS has_currency"),
         "T05_L01_U03_entities": on_corpus(ent),
         "T06_readability": on_corpus(f"doc_id, round({READABILITY}, 6) AS readability_score"),
@@ -186,28 +195,25 @@ def oracle_sql() -> dict[str, str]:
         "T28_chosen_name": chosen_name(),
         "T30_safe_name": rf"{corpus_cte()}, e AS (SELECT doc_id, file_name, regexp_replace(file_name, '[<>:\"|?*\\/]', '_', 'g') AS s FROM corpus), f AS (SELECT doc_id, file_name, CASE WHEN upper(regexp_replace(s, '([^/.])\.[^./]*$', '\1')) IN {RESERVED} THEN 'file_' || s ELSE s END AS s FROM e) SELECT doc_id, CASE WHEN file_name IS NULL OR file_name = '' THEN 'unnamed_file' WHEN trim(s) = '' THEN 'sanitized_file' WHEN len(s) > 255 THEN left(s, 255 - len(regexp_extract(s, '[^.](\.[^.]*)$', 1))) || regexp_extract(s, '[^.](\.[^.]*)$', 1) ELSE s END AS name FROM f",
         "T32_checked_name": rf"{corpus_cte()}, e AS (SELECT doc_id, regexp_replace(left(file_name, 160), '[^a-zA-Z0-9._\-\s]', '', 'g') AS s FROM corpus) SELECT doc_id, CASE WHEN upper(s) IN ('.', '..') OR upper(s) IN {RESERVED} OR regexp_replace(s, '^[. ]+|[. ]+$', '', 'g') = '' THEN NULL ELSE regexp_replace(s, '^[. ]+|[. ]+$', '', 'g') END AS name FROM e",
-        "T33_model_input": on_corpus(rf"doc_id, CASE WHEN {inj} THEN 'refused' ELSE 'ok' END AS status, md5(CASE WHEN {inj} THEN '-' ELSE trim(regexp_replace(left(t, 4096), '\s+', ' ', 'g')) END) AS digest"),
+        "T33_model_input": on_corpus(rf"doc_id, CASE WHEN {inj} THEN 'refused' ELSE 'ok' END AS status, md5(CASE WHEN {inj} THEN '-' ELSE trim(regexp_replace({printable}, '\s+', ' ', 'g')) END) AS digest"),
         "T34_script_check": on_corpus(f"doc_id, CASE WHEN {scr} THEN 'warned' ELSE 'ok' END AS status, md5(CASE WHEN {scr} THEN coalesce(content, '-') ELSE left(t, 8192) END) AS digest"),
         "T35_without_dangers": on_corpus(f"doc_id, {DANGERS} AS content"),
         "T36_S25_clean_log": on_corpus(f"doc_id, {LOG} AS line"),
         "S25_log_statistics": on_corpus(f"count(content) AS lines, count(*) FILTER (content <> {LOG}) AS changed"),
         "T43_broad_category": on_corpus(f"doc_id, {BROAD} AS category"),
-        "T46_T47_T48_T49_L03_extractor": on_corpus(
-            rf"doc_id, array_to_string(list_transform(list_slice(list_reverse_sort({amounts}), 1, 5), lambda v: CAST(trunc(v * 100) AS BIGINT)), '|') AS top_amounts_cents, regexp_matches(t, '(?m)^[A-Z][A-Z\s]+$') AS has_headers, regexp_matches(t, '(?m)^\s*\d+\.') AS has_numbered_items, regexp_matches(t, '(?m)^\s*[•\-*]') AS has_bullet_points, CASE WHEN {fy} <> '' THEN {fy} WHEN {spelled} <> '' THEN {spelled} END AS fiscal_year_pattern, array_to_string(list_transform(regexp_extract_all(t, 'q[1-4]\s+\d{{4}}', 0, 'i'), lambda q: upper(q)), ',') AS quarters"
-        ),
         "T54_path_verdict": on_corpus(f"doc_id, CASE WHEN file_name IS NULL OR file_name = '' THEN 'empty' WHEN {any_of(p, security.SUSPICIOUS_PATHS)} THEN 'suspicious' WHEN {any_of(p, security.SYSTEM_PATHS)} THEN 'system' ELSE 'ok' END AS verdict"),
         "T56_S10_threats": threats(),
         "C01_C02_rule_scores": f"{corpus_cte()}{BASE}{SCORES} SELECT doc_id, " + ", ".join(f"round({c}, 9) AS {c}" for c in classify.RULES) + " FROM sc",
         "C04_C06_C07_classified": f"{corpus_cte()}{BASE}{CLASSIFIED} SELECT doc_id, category, round(confidence, 9) AS confidence, {LEVEL} AS confidence_level, CASE WHEN confidence >= 0.7 THEN 'rule_based' ELSE 'ml_enhanced' END AS method FROM k",
-        "C08_C09_C10_C11_refined": f"{corpus_cte()}{BASE}{CLASSIFIED}{REFINED} SELECT doc_id, CASE WHEN uncertainty = 'new_pattern' THEN {BROAD} ELSE category END AS category, round(CASE uncertainty WHEN 'new_pattern' THEN 0.4::DOUBLE WHEN 'quality' THEN least(0.6::DOUBLE, confidence + 0.1::DOUBLE) ELSE confidence END, 9) AS confidence, uncertainty FROM u",
+        "C08_C09_C10_C11_refined": f"{corpus_cte()}{BASE}{CLASSIFIED}{REFINED} SELECT doc_id, CASE WHEN uncertainty = 'new_pattern' THEN {BROAD} ELSE category END AS category, round(CASE uncertainty WHEN 'new_pattern' THEN 0.4::DOUBLE WHEN 'quality' THEN least(0.6::DOUBLE, confidence + 0.1::DOUBLE) ELSE confidence END, 9) AS confidence, CASE WHEN uncertainty = 'new_pattern' THEN category END AS alternative, uncertainty FROM u",
         "C14_C15_C16_uncertainty": f"{corpus_cte()}{BASE}{CLASSIFIED}{FACTORS} SELECT doc_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ["confidence", *classify.FACTOR_WEIGHTS, "uncertainty_score"]) + ", certain FROM un",
         "G18_uncertainty_summary": f"{corpus_cte()}{BASE}{CLASSIFIED}{FACTORS} " + " UNION ALL ".join(f"SELECT '{k}' AS factor, round(avg({k}), 6) AS avg_score, round(max({k}), 6) AS max_score, count(*) FILTER ({k} > 0.1) AS documents_affected FROM un WHERE NOT certain" for k in classify.FACTOR_WEIGHTS),
         "G19_threshold_sweep": f"{corpus_cte()}{BASE}{CLASSIFIED} SELECT threshold::DOUBLE AS threshold, count(*) FILTER (confidence >= threshold) AS certain, count(*) FILTER (confidence < threshold) AS uncertain FROM k, (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) v(threshold) GROUP BY threshold",
         "G03_G04_quality": f"WITH {RESULTS}, c AS (SELECT coalesce(category, 'none') AS category, count(*) AS n, count(*) FILTER (confidence >= 0.8) AS hi, count(*) FILTER (method = 'fallback') AS fb FROM res GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS total_documents, sum(hi)::BIGINT AS high_confidence, sum(fb)::BIGINT AS fallback_documents, count(*) AS total_categories, count(*) FILTER (n < 2) AS one FROM c), u AS (SELECT *, CASE WHEN total_documents <= 10 THEN 0 ELSE one END AS small_categories FROM t), w AS (SELECT *, 100.0::DOUBLE * high_confidence / total_documents AS qs, greatest(0.0::DOUBLE, 100 - small_categories::DOUBLE / total_categories * 100) AS bs, CASE WHEN total_documents <= 5 THEN 40 WHEN total_documents <= 10 THEN 50 WHEN total_documents <= 20 THEN 55 ELSE 60 END AS th FROM u), x AS (SELECT *, (qs + bs) / 2 AS os FROM w) SELECT total_documents, high_confidence, fallback_documents, total_categories, small_categories, round(qs, 6) AS quality_score, round(bs, 6) AS balance_score, round(os, 6) AS overall_score, th AS threshold_used, os >= th AS valid, coalesce(nullif(concat_ws(',', CASE WHEN os < 60 THEN 'below_threshold' END, CASE WHEN fallback_documents > 0 THEN 'review_fallback' END, CASE WHEN one > total_categories * 0.3 THEN 'merge_small' END, CASE WHEN total_categories > 20 THEN 'too_many_categories' END), ''), 'good') AS advice FROM x",
         "G02_G05_G07_methods": f"WITH {RESULTS} SELECT method, count(*) AS n, count(*) FILTER (confidence >= 0.8) AS high, count(*) FILTER (confidence >= 0.5 AND confidence < 0.8) AS medium FROM res GROUP BY method",
-        "G01_processing_summary": "WITH a AS (SELECT DISTINCT ON (content_id) * FROM extracted_content) SELECT 'quality' AS \"by\", coalesce(quality, 'none') AS \"value\", count(*) AS n FROM a GROUP BY 2 UNION ALL SELECT 'method', coalesce(extraction_method, 'none'), count(*) FROM a GROUP BY 2 UNION ALL SELECT 'kind', coalesce(file_type, 'none'), count(*) FROM a GROUP BY 2 UNION ALL SELECT 'total', '', count(*) FROM a",
+        "G01_processing_summary": "WITH a AS (SELECT DISTINCT ON (content_id) * FROM extracted_content), g AS (SELECT *, (coalesce(quality, 'failed') <> 'failed')::INT AS ok FROM a) SELECT 'quality' AS \"by\", coalesce(quality, 'none') AS \"value\", count(*) AS n, round(avg(ok), 6) AS success_share FROM g GROUP BY 2 UNION ALL SELECT 'method', coalesce(extraction_method, 'none'), count(*), round(avg(ok), 6) FROM g GROUP BY 2 UNION ALL SELECT 'kind', coalesce(file_type, 'none'), count(*), round(avg(ok), 6) FROM g GROUP BY 2 UNION ALL SELECT 'total', '', count(*), round(avg(ok), 6) FROM g",
         "G09_X01_distribution": f"{DATED}{DIST} SELECT * FROM ds",
-        "G10_L07_peaks": f"{DATED}{DIST} SELECT grain, period, n FROM (SELECT *, row_number() OVER (PARTITION BY grain ORDER BY n DESC, period) AS r FROM ds WHERE grain <> 'year') WHERE r = 1",
+        "G10_L07_peaks": f"{DATED}{DIST} SELECT grain, period, CASE WHEN grain = 'month' THEN ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][period] ELSE 'Q' || period END AS name, n FROM (SELECT *, row_number() OVER (PARTITION BY grain ORDER BY n DESC, period) AS r FROM ds WHERE grain <> 'year') WHERE r = 1",
         "G11_X06_seasonal": f"{DATED}{QUARTERS}, cs AS (SELECT category, sum(c) AS total, count(*) AS qs, stddev_pop(c) / avg(c) AS cv, arg_min(q, -c * 10 + q) AS peak FROM cq GROUP BY category) SELECT category, qs >= 2 AND cv > 0.5 AS pattern_detected, CASE WHEN qs >= 2 THEN round(cv, 6) END AS pattern_strength, CASE WHEN qs >= 2 AND cv > 0.5 THEN 'Q' || peak END AS peak_quarter, CASE WHEN qs >= 2 AND cv > 0.5 THEN {SEASON} END AS seasonal_type FROM cs WHERE total >= 3",
         "G12_overall_season": f"{DATED}, cq AS (SELECT quarter(dt) AS q, count(*) AS c FROM n GROUP BY 1) SELECT 'Q' || arg_min(q, -c * 10 + q) AS peak_quarter, round(max(c) / sum(c) * 100, 6) AS peak_percentage, CASE WHEN count(*) < 2 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, stddev_pop(c) / avg(c)), 6) END AS seasonal_strength FROM cq",
         "G13_G14_fiscal_inference": f"{DATED}, m AS (SELECT count(*) FILTER (month(dt) IN (3, 4))::DOUBLE AS financial, (count(*) FILTER (month(dt) = 9) * 1.5)::DOUBLE AS academic, count(*) FILTER (month(dt) IN (9, 10))::DOUBLE AS federal, count(*)::DOUBLE / 12 AS calendar, count(DISTINCT month(dt)) AS months FROM n) SELECT round(financial, 6) AS financial, round(academic, 6) AS academic, round(federal, 6) AS federal, round(calendar, 6) AS calendar, CASE WHEN months = 0 THEN 'calendar' WHEN financial >= greatest(academic, federal, calendar) THEN 'financial' WHEN academic >= greatest(federal, calendar) THEN 'academic' WHEN federal >= calendar THEN 'federal' ELSE 'calendar' END AS fiscal_type, round(least(1.0::DOUBLE, months / 12.0::DOUBLE * 2) * 0.3::DOUBLE, 6) AS confidence FROM m",
@@ -225,25 +231,23 @@ def oracle_sql() -> dict[str, str]:
         "S14_correction_flow": f"WITH {CORR} SELECT coalesce(from_category, 'none') AS from_category, coalesce(to_category, 'none') AS to_category, count(*) AS n FROM cor GROUP BY ALL",
         "T44_correction_keywords": rf"WITH {CORR} SELECT correction_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(file_name), '[a-z]{{3,}}'))), ',') AS keywords, regexp_matches(lower(file_name), '\d') AS has_digit, regexp_matches(lower(file_name), '\d{{4}}[-_]\d{{2}}') AS has_date FROM cor",
         "P07_reorganise": f"WITH {SESS}, o AS (SELECT avg(quality_score) AS a FROM ses), p AS (SELECT structure_type, count(*) AS n, avg(quality_score) AS m FROM ses GROUP BY 1) SELECT structure_type, n, round((m - a) / a, 6) AS gain, coalesce((m - a) / a >= 0.15, false) AS recommended FROM p, o",
-        "J01_matched_paths": f"WITH {RESULTS}, {FILES}, k AS (SELECT file_path AS key, 0 AS rank, file_id FROM fil UNION ALL SELECT file_name, 1, file_id FROM fil), f AS (SELECT key, file_id, row_number() OVER (PARTITION BY key ORDER BY rank, file_id) AS r FROM k WHERE key IS NOT NULL) SELECT result_id, id, f.file_id AS matched_file_id FROM res LEFT JOIN f ON id = key AND r = 1",
+        "J01_matched_paths": f"WITH {RESULTS}, {FILES}, k AS (SELECT file_path AS key, 0 AS rank, file_id FROM fil UNION ALL SELECT file_name, 1, file_id FROM fil UNION ALL SELECT properties['original_path'], 2, file_id FROM fil UNION ALL SELECT CAST(file_id AS VARCHAR), 3, file_id FROM fil), f AS (SELECT key, file_id, row_number() OVER (PARTITION BY key ORDER BY rank, file_id) AS r FROM k WHERE key IS NOT NULL) SELECT result_id, id, f.file_id AS matched_file_id FROM res LEFT JOIN f ON id = key AND r = 1",
         "J02_T09_with_default": f"WITH {FILES}, s AS (SELECT file_id, max(len(text)) AS n FROM extracted_content GROUP BY 1) SELECT fil.file_id, coalesce(n, 0) AS text_length FROM fil LEFT JOIN s USING (file_id)",
         "J03_J04_overridden": f"WITH {RESULTS}, b AS (SELECT file_id, max(category) AS c FROM res GROUP BY 1), w AS (SELECT file_id, upper(max(category)) AS c FROM res WHERE confidence >= 0.8 GROUP BY 1) SELECT b.file_id, coalesce(w.c, b.c) AS category FROM b LEFT JOIN w USING (file_id)",
         "J05_S15_unprocessed": f"WITH {FILES} SELECT file_id FROM fil WHERE file_id NOT IN (SELECT file_id FROM extracted_content WHERE regexp_matches(text, '\\S') AND file_id IS NOT NULL)",
-        "J06_U01_new_categories": f"WITH {RESULTS} SELECT DISTINCT lower(trim(category)) AS category FROM res WHERE category IS NOT NULL EXCEPT SELECT subject FROM subject_areas WHERE subject < 'm'",
-        "W05_collisions": rf"WITH {FILES}, m AS (SELECT file_id, 'by_type/' || replace(coalesce(file_extension, 'none'), '.', '') AS folder, file_name AS name FROM fil), r AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY file_id) - 1 AS k FROM m) SELECT file_id, folder || '/' || regexp_extract(name, '^(.+?)(\.[^.]*)?$', 1) || CASE WHEN k > 0 THEN '_' || k ELSE '' END || regexp_extract(name, '^(.+?)(\.[^.]*)?$', 2) AS target FROM r",
+        "J06_U01_new_categories": f"WITH {RESULTS} SELECT DISTINCT lower(trim(category)) AS category FROM res WHERE category IS NOT NULL EXCEPT SELECT subject FROM subject_areas",
+        "W05_collisions": rf"WITH {FILES}, m AS (SELECT file_id, 'by_type/' || replace(coalesce(file_extension, 'none'), '.', '') AS folder, file_name AS name FROM fil), r AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY file_id) - 1 AS k FROM m), tk AS (SELECT folder, regexp_extract(name, '^(.+?)_([1-9]\d{{0,8}})(\.[^.]*)?$', 1) || regexp_extract(name, '^(.+?)_([1-9]\d{{0,8}})(\.[^.]*)?$', 3) AS name, list(DISTINCT CAST(regexp_extract(name, '^(.+?)_([1-9]\d{{0,8}})(\.[^.]*)?$', 2) AS BIGINT)) AS taken FROM m WHERE regexp_matches(name, '^(.+?)_([1-9]\d{{0,8}})(\.[^.]*)?$') GROUP BY ALL), z AS (SELECT r.*, coalesce(taken, []) AS taken FROM r LEFT JOIN tk USING (folder, name)) SELECT file_id, folder || '/' || regexp_extract(name, '^(.+?)(\.[^.]*)?$', 1) || CASE WHEN k > 0 THEN '_' || (list_filter(range(1, k + len(taken) + 1), lambda x: NOT list_contains(taken, x)))[k] ELSE '' END || regexp_extract(name, '^(.+?)(\.[^.]*)?$', 2) AS target FROM z",
         "W07_last_write": "SELECT content_id, ingested_at, quality FROM (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY ingested_at DESC NULLS LAST, quality DESC NULLS LAST) AS r FROM extracted_content) WHERE r = 1",
-        "K04_K05_operations": f"WITH {RESULTS}, m AS (SELECT category, count(DISTINCT file_id) AS n FROM res WHERE category IS NOT NULL GROUP BY 1) SELECT 'create_dir' AS type, category, 'organized/' || category AS target, 1 AS n FROM m WHERE category NOT IN (SELECT subject FROM subject_areas WHERE subject < 'm') UNION ALL SELECT 'move', category, 'organized/' || category, n FROM m",
         "K07_G08_preview": f"WITH {RESULTS}, d AS (SELECT DISTINCT category, file_id FROM res WHERE category IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY file_id) AS i FROM d) SELECT category, count(*) AS n, string_agg(CAST(file_id AS VARCHAR), ',' ORDER BY file_id) FILTER (i <= 3) AS examples FROM r GROUP BY category",
         "K03_G24_structure": f"WITH {RESULTS}, s AS (SELECT count(*) AS n, coalesce(avg((confidence >= 0.8)::INT), 0.0) AS a FROM res) SELECT n, round(a, 6) AS strong_share, CASE WHEN a >= 0.6 THEN 'category_first' ELSE 'time_first' END AS structure_type, CASE WHEN n > 50 THEN 'month' ELSE 'year' END AS granularity FROM s",
         "T55_K06_folder_checks": rf"{corpus_cte()} SELECT DISTINCT file_name AS name, concat_ws(',', CASE WHEN file_name IS NULL OR trim(file_name) = '' THEN 'empty' END, CASE WHEN len(file_name) > 255 THEN 'too_long' END, CASE WHEN regexp_matches(file_name, '[<>:\"|?*]') THEN 'illegal_character' END, CASE WHEN upper(file_name) IN {RESERVED} THEN 'reserved' END) AS errors FROM corpus",
-        "S23_S24_folder_statistics": f"WITH {FILES} SELECT coalesce(file_extension, '') AS extension, count(DISTINCT file_id) AS files, max(len(file_path) - len(replace(file_path, '/', ''))) AS depth FROM fil GROUP BY 1",
-        "K01_G26_folder_pattern": rf"WITH {FILES}, p AS (SELECT DISTINCT unnest(string_split(file_path, '/')) AS p FROM fil), c AS (SELECT count(*) FILTER (regexp_matches(p, '^(19|20)\d{{2}}$')) AS year_like, count(*) FILTER (regexp_matches(p, '^[A-Za-z_-]+$')) AS category_like FROM p WHERE p <> '') SELECT *, CASE WHEN year_like > category_like THEN 'time_first' ELSE 'category_first' END AS pattern FROM c",
+        "S23_S24_folder_statistics": f"WITH {FILES} SELECT coalesce(file_extension, '') AS extension, count(DISTINCT file_id) AS files, coalesce(sum(file_size), 0)::BIGINT AS bytes, count(DISTINCT regexp_extract(file_path, '^(.*)/[^/]*$', 1)) AS folders, max(len(file_path) - len(replace(file_path, '/', ''))) AS depth FROM fil GROUP BY 1",
         "G25_U05_distinct_categories": f"WITH {RESULTS} SELECT DISTINCT lower(trim(category)) AS category FROM res WHERE category IS NOT NULL",
         "P01_file_validity": f"WITH {FILES} SELECT file_id, coalesce(file_size > 0 AND file_size <= 52428800 AND lower(file_extension) IN ('.pdf', '.txt', '.md', '.png', '.jpg', '.jpeg', '.tiff', '.bmp', '.gif'), false) AS valid FROM fil",
         "P02_scanned": f"WITH {FILES} SELECT file_id, coalesce(content_length, 0) < coalesce(paragraph_count, 1) * 100 AS scanned FROM fil",
         "X10_time_fallback": f"WITH {FILES} SELECT file_id, 'documents_' || coalesce(CAST(year(modification_date) AS VARCHAR), 'undated') AS category, 0.9::DOUBLE AS confidence FROM fil",
         "M07_reference_categories": f"WITH {RESULTS} SELECT category, count(DISTINCT file_id) AS files FROM res WHERE confidence >= 0.7 AND category IS NOT NULL GROUP BY 1",
-        "U02_U04_merged_categories": "SELECT category FROM classification_results WHERE category IS NOT NULL UNION SELECT to_category FROM user_corrections WHERE to_category IS NOT NULL UNION SELECT subject FROM subject_areas WHERE subject < 'm'",
+        "U02_U04_merged_categories": "SELECT category FROM classification_results WHERE category IS NOT NULL UNION SELECT to_category FROM user_corrections WHERE to_category IS NOT NULL UNION SELECT subject FROM subject_areas",
         "G06_method_share": f"WITH {RESULTS} SELECT count(*) FILTER (method = 'ml_enhanced') AS enhanced, round(avg((method = 'ml_enhanced')::INT), 6) AS rate FROM res",
         "T37_clean_settings": f"{corpus_cte()} SELECT doc_id, '[REDACTED]' AS key, CAST(template AS VARCHAR) AS home FROM corpus",
         "T42_token_allowance": on_corpus("doc_id, CAST(greatest(ceil(ceil(len(t) / 2.7::DOUBLE) * 1.3::DOUBLE), 20) AS BIGINT) AS tokens"),

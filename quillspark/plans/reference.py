@@ -69,27 +69,10 @@ def sentence_scores(c: DataFrame) -> DataFrame:
     return s.select("doc_id", F.col("x.pos").cast("bigint").alias("pos"), F.round(-F.col("x.minus"), 6).alias("score"))
 
 
-def extractor(c: DataFrame) -> DataFrame:
-    """Structure, amounts and fiscal hints of a text."""
-    amounts = F.flatten(F.array(*[F.regexp_extract_all(text(), F.lit("(?iu)" + p), F.lit(0)) for p in (r"\$[\d,]+\.?\d*", r"[\d,]+\.\d{2}\s*(?:USD|dollars?)", r"amount[:\s]+\$?[\d,]+\.?\d*")]))
-    numbers = F.filter(F.transform(amounts, lambda a: F.regexp_replace(a, "[^0-9.]", "").try_cast("double")), lambda v: v.isNotNull())
-    year = F.regexp_extract(text(), r"(?iu)fy[\s-]?(\d{2,4})", 1)
-    spelled = F.regexp_extract(text(), r"(?iu)fiscal\s+year\s+(\d{2,4})", 1)
-    return c.select(
-        "doc_id",
-        joined(F.transform(F.slice(F.reverse(F.array_sort(numbers)), 1, 5), lambda v: (v * 100).cast("bigint").cast("string"))).alias("top_amounts_cents"),
-        text().rlike(r"(?m)^[A-Z][A-Z\s]+$").alias("has_headers"),
-        text().rlike(r"(?m)^\s*\d+\.").alias("has_numbered_items"),
-        text().rlike(r"(?m)^\s*[•\-*]").alias("has_bullet_points"),
-        F.when(year != "", year).when(spelled != "", spelled).alias("fiscal_year_pattern"),
-        joined(F.transform(F.regexp_extract_all(text(), F.lit(r"(?iu)q[1-4]\s+\d{4}"), F.lit(0)), lambda q: F.upper(q)), ",").alias("quarters"),
-    )
-
-
 def factor_input(c: DataFrame) -> DataFrame:
-    k = classify.classified(c).select("doc_id", "confidence")
-    flags = c.select("doc_id", "content", "file_name", profile.any_match(text(), [p for p, _ in profile.DATE_PATTERNS]).alias("has_dates"), text().rlike(r"\$[\d,]+\.?\d*").alias("has_amounts"))
-    return flags.join(k, "doc_id")
+    k = classify.classified(c, ("content", "file_name"))
+    dated, paid = (profile.any_match(text(), [p for p, *_ in found]) for found in (profile.DATE_PATTERNS, profile.CURRENCY_PATTERNS))
+    return k.select("doc_id", "content", "file_name", "confidence", dated.alias("has_dates"), text().rlike(r"\$[\d,]+\.?\d*").alias("has_amounts"), (dated | paid).alias("has_entities"))
 
 
 def uncertain(c: DataFrame) -> DataFrame:
@@ -110,8 +93,8 @@ def moves(spark: SparkSession, d: str) -> DataFrame:
     return planning.without_collisions(f.select("file_id", F.concat(F.lit("by_type/"), F.regexp_replace("file_extension", r"\.", "")).alias("folder"), F.col("file_name").alias("name")))
 
 
-def small_categories(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "subject_areas").select(F.col("subject").alias("category")).filter("category < 'm'")
+def known_categories(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "subject_areas").select(F.col("subject").alias("category"))
 
 
 def queries() -> dict[str, Query]:
@@ -143,7 +126,6 @@ def queries() -> dict[str, Query]:
         "T36_S25_clean_log": on_corpus(lambda c: c.select("doc_id", security.clean_log(F.col("content")).alias("line")).select("doc_id", "line")),
         "S25_log_statistics": on_corpus(lambda c: c.select(F.col("content").alias("old"), security.clean_log(F.col("content")).alias("new")).agg(F.count("old").alias("lines"), F.count_if(F.col("old") != F.col("new")).alias("changed"))),
         "T43_broad_category": on_corpus(lambda c: c.select("doc_id", classify.broad_category(F.col("content")).alias("category"))),
-        "T46_T47_T48_T49_L03_extractor": on_corpus(extractor),
         "T54_path_verdict": on_corpus(lambda c: c.select("doc_id", security.path_verdict(F.col("file_name")).alias("verdict"))),
         "T56_S10_threats": on_corpus(security.threats),
         "C01_C02_rule_scores": on_corpus(lambda c: classify.rule_scores(c).select("doc_id", *[F.round(k, 9).alias(k) for k in classify.RULES])),
@@ -178,15 +160,13 @@ def queries() -> dict[str, Query]:
         "J02_T09_with_default": lambda s, d: planning.with_default(files(s, d), load(s, d, "extracted_content")),
         "J03_J04_overridden": lambda s, d: planning.overridden(results(s, d).select("file_id", "category").groupBy("file_id").agg(F.max("category").alias("category")), results(s, d).filter("confidence >= 0.8").groupBy("file_id").agg(F.upper(F.max("category")).alias("category"))),
         "J05_S15_unprocessed": lambda s, d: planning.unprocessed(files(s, d).select("file_id"), load(s, d, "extracted_content").filter(F.col("text").rlike(r"\S"))),
-        "J06_U01_new_categories": lambda s, d: planning.new_categories(results(s, d), small_categories(s, d)),
+        "J06_U01_new_categories": lambda s, d: planning.new_categories(results(s, d), known_categories(s, d)),
         "W05_collisions": moves,
         "W07_last_write": lambda s, d: planning.latest(load(s, d, "extracted_content").select("content_id", "ingested_at", "quality"), "content_id", "ingested_at", "quality"),
-        "K04_K05_operations": lambda s, d: planning.operations(results(s, d), "organized", small_categories(s, d)),
         "K07_G08_preview": lambda s, d: planning.preview(results(s, d)),
         "K03_G24_structure": lambda s, d: planning.structure(results(s, d)),
         "T55_K06_folder_checks": lambda s, d: planning.folder_checks(corpus(s, d).select(F.col("file_name").alias("name")).distinct()),
         "S23_S24_folder_statistics": lambda s, d: planning.folder_statistics(files(s, d)),
-        "K01_G26_folder_pattern": lambda s, d: planning.folder_pattern(files(s, d)),
         "G25_U05_distinct_categories": lambda s, d: results(s, d).select(F.lower(F.trim("category")).alias("category")).filter("category is not null").distinct(),
         "G31_centroids": lambda s, d: vectors.centroids(load(s, d, "embeddings"), "label").select("label", F.col("i").cast("bigint").alias("i"), F.round("mean", 6).alias("mean")),
         "M04_M05_J10_nearest_reference": lambda s, d: vectors.nearest_reference(load(s, d, "embeddings"), "label"),
@@ -194,7 +174,7 @@ def queries() -> dict[str, Query]:
         "P02_scanned": lambda s, d: files(s, d).select("file_id", (F.coalesce("content_length", F.lit(0)) < F.coalesce("paragraph_count", F.lit(1)) * source.CHARS_PER_PAGE).alias("scanned")),
         "X10_time_fallback": lambda s, d: files(s, d).select("file_id", F.concat(F.lit("documents_"), F.coalesce(F.year("modification_date").cast("string"), F.lit("undated"))).alias("category"), F.lit(0.9).alias("confidence")),
         "M07_reference_categories": lambda s, d: results(s, d).filter("confidence >= 0.7 and category is not null").groupBy("category").agg(F.count_distinct("file_id").alias("files")),
-        "U02_U04_merged_categories": lambda s, d: results(s, d).select("category").unionByName(load(s, d, "user_corrections").select(F.col("to_category").alias("category"))).unionByName(small_categories(s, d)).filter("category is not null").distinct(),
+        "U02_U04_merged_categories": lambda s, d: results(s, d).select("category").unionByName(load(s, d, "user_corrections").select(F.col("to_category").alias("category"))).unionByName(known_categories(s, d)).filter("category is not null").distinct(),
         "G06_method_share": lambda s, d: results(s, d).agg(F.count_if(F.col("method") == "ml_enhanced").alias("enhanced"), F.round(F.avg((F.col("method") == "ml_enhanced").cast("double")), 6).alias("rate")),
         "T37_clean_settings": on_corpus(lambda c: c.select("doc_id", security.clean_settings(F.create_map(F.lit("MY_API_KEY"), "file_name", F.lit("home"), F.col("template").cast("string"))).alias("m")).select("doc_id", F.element_at("m", "MY_API_KEY").alias("key"), F.element_at("m", "home").alias("home"))),
         "T42_token_allowance": on_corpus(lambda c: c.select("doc_id", F.greatest(F.ceil(F.ceil(F.length(text()) / 2.7) * 1.3), F.lit(20)).cast("bigint").alias("tokens"))),

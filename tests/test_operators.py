@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import classify, clean, grade, history, planning, profile, security, temporal, vectors
 
-DOC = "doc_id bigint, file_name string, content string, extra string"
+DOC = "doc_id bigint, file_name string, content string, file_size bigint, extra string"
 
 
 def docs(spark, *texts):
-    return spark.createDataFrame([(i, f"f{i}.pdf", t, "x") for i, t in enumerate(texts)], DOC)
+    return spark.createDataFrame([(i, f"f{i}.pdf", t, 10 * i, "x") for i, t in enumerate(texts)], DOC)
 
 
 def one(df, column):
@@ -90,7 +90,7 @@ def test_log_secrets_in_order(spark):
 
 def test_threat_levels(spark):
     d = docs(spark, "/Launch", "/JS", "/URI", "/URI /AA /XFA", "", None)
-    assert one(security.threats(d), "threat_level") == ["high", "medium", "low", "medium", "safe", "safe"]
+    assert one(security.threats(d), "threat_level") == ["high", "medium", "low", "medium", "safe", "low"]
 
 
 def test_settings(spark):

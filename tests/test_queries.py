@@ -7,9 +7,11 @@ import os
 import duckdb
 import pytest
 
-from quillspark.plans import oracle, reference, training
+from quillspark.plans import oracle, reference, service, service_sql, training
 
-ONE_ROW = {"S25_log_statistics", "G03_G04_quality", "G12_overall_season", "G13_G14_fiscal_inference", "W01_density", "X04_X08_span", "G20_recent_average", "G21_W04_learning_metrics", "K03_G24_structure", "K01_G26_folder_pattern", "G06_method_share"}
+ONE_ROW = {"S25_log_statistics", "G03_G04_quality", "G12_overall_season", "G13_G14_fiscal_inference", "W01_density", "X04_X08_span", "G20_recent_average", "G21_W04_learning_metrics", "K03_G24_structure", "K01_G26_X11_P03_folder_pattern", "K02_chosen_structure", "G06_method_share", "S20_P09_tally", "S27_G30_call_report", "G27_retry_statistics", "G29_availability", "G16_temporal_confidence", "G14_fiscal_hints"}
+QUERIES = reference.queries() | service.queries()
+SQL = oracle.oracle_sql() | service_sql.oracle_sql()
 EMPTY_AT_THIS_SIZE = {"L10_paged_sessions", "J05_S15_unprocessed"}
 
 
@@ -37,9 +39,9 @@ def rows(frame):
     return sorted((tuple(plain(v) for v in r) for r in frame[sorted(frame.columns)].values.tolist()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, data, duck, name):
-    ours, theirs = reference.queries()[name](spark, data).toPandas(), duck.execute(oracle.oracle_sql()[name]).df()
+    ours, theirs = QUERIES[name](spark, data).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
     if name in EMPTY_AT_THIS_SIZE:
@@ -50,8 +52,8 @@ def test_matches_sql(spark, data, duck, name):
 
 
 def test_rows_only_queries_run(spark, data):
-    for name in sorted(set(reference.queries()) - set(oracle.oracle_sql())):
-        assert reference.queries()[name](spark, data).count() > 0, name
+    for name in sorted(set(QUERIES) - set(SQL)):
+        assert QUERIES[name](spark, data).count() > 0, name
 
 
 def test_general_training_queries_run(spark, data):
