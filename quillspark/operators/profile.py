@@ -161,7 +161,10 @@ def comprehensive(df: DataFrame) -> DataFrame:
     def search(patterns) -> Column:
         return low.rlike("|".join(p.lower() for p in patterns))
 
-    found_ = [F.array_join(found(t, p, fold), "|").alias(n) for n, p, fold in (("dates_found", DATE_PATTERNS, True), ("numbers_found", NUMBER_PATTERNS, False), ("currency_found", CURRENCY_PATTERNS, True))]
+    base = base.select("*", search([p for p, _ in DATE_PATTERNS]).alias("dated"), search(CURRENCY_FLAGS).alias("paid"))
+    # what one search for the alternatives does not find is not searched for pattern by pattern
+    money = F.col("paid") | low.rlike("|".join(p.lower() for p, _ in CURRENCY_PATTERNS))
+    found_ = [F.when(some, F.array_join(found(t, p, fold), "|")).otherwise("").alias(n) for n, some, p, fold in (("dates_found", F.col("dated"), DATE_PATTERNS, True), ("numbers_found", t.rlike(r"\d"), NUMBER_PATTERNS, False), ("currency_found", money, CURRENCY_PATTERNS, True))]
     return base.select(
         "doc_id",
         "file_name",
@@ -173,8 +176,8 @@ def comprehensive(df: DataFrame) -> DataFrame:
         line_count(t).alias("line_count"),
         paragraph_count(t).alias("paragraph_count"),
         has_headers(t).alias("has_headers"),
-        search([p for p, _ in DATE_PATTERNS]).alias("has_dates"),
-        search(CURRENCY_FLAGS).alias("has_currency"),
+        F.col("dated").alias("has_dates"),
+        F.col("paid").alias("has_currency"),
         t.rlike(r"\d").alias("has_numbers"),
         F.round(readability_of(F.col("n_words"), F.col("letters"), F.col("marks"), t == ""), 6).alias("readability_score"),
         F.when(F.length(F.trim(t)) < 50, None).otherwise(language_of({k: F.col(f"m_{k}") for k in LANGUAGE_MARKERS})).alias("language"),
