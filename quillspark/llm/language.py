@@ -36,7 +36,8 @@ LANDMARKS_PER_LANGUAGE = 40
 RIDGE = 1e-2
 MIN_LETTERS = 30  # pieces with fewer letters follow the document
 MIXED_MARGIN = 0.5  # page headings stay below, paragraphs above
-CONFIDENCE_SCALE = 6.0
+CONFIDENCE_SCALES = (1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 13.0, 17.0, 22.0)
+CALIBRATION_WORDS = 5  # words of the held-out pieces that the scale is fit on; whole paragraphs are hardly ever wrong
 SCORING_BATCH = 64  # documents scored by one product
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 PIECES = re.compile(r"\n\n")
@@ -110,11 +111,32 @@ def score(weights: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return weights[ids].sum(axis=0) / np.sqrt(max(1, len(ids)))
 
 
-def confidence(values: np.ndarray) -> float:
-    e = np.exp(CONFIDENCE_SCALE * (values - values.max()))
+def confidence(values: np.ndarray, scale: float) -> float:
+    e = np.exp(scale * (values - values.max()))
     return float(e.max() / e.sum())
 
 
+def fit_scale(texts: list[str], labels: list[str]) -> float:
+    """The scale of the decision values that makes confidences likeliest on pieces of a held-out fifth of the sample."""
+    held = [i for i in range(len(texts)) if i % 5 == 0]
+    weights = fit([x for i, x in enumerate(texts) if i % 5], [x for i, x in enumerate(labels) if i % 5])
+    pieces, y = [], []
+    for i in held:
+        words = texts[i].split()
+        for k in range(0, len(words) - CALIBRATION_WORDS + 1, 4 * CALIBRATION_WORDS):
+            pieces.append(" ".join(words[k : k + CALIBRATION_WORDS]))
+            y.append(LANGUAGES.index(labels[i]))
+    if not pieces:
+        return CONFIDENCE_SCALES[len(CONFIDENCE_SCALES) // 2]
+    values = scores(weights, [r for r, _ in Presence().pieces(pieces)])
+    values = values - values.max(axis=1, keepdims=True)
+
+    def loss(scale: float) -> float:
+        return float((np.log(np.exp(scale * values).sum(axis=1)) - scale * values[np.arange(len(y)), y]).mean())
+
+    return min(CONFIDENCE_SCALES, key=loss)
+
+
 def scores(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """The decision values of many presence rows at once: the sparse product of the presence matrix with the weights."""
     sizes = np.asarray([len(r) for r in rows])
@@ -126,7 +148,7 @@ def scores(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def decide(values: np.ndarray, letters: np.ndarray) -> list[tuple[int, str, float]]:
+def decide(values: np.ndarray, letters: np.ndarray, scale: float) -> list[tuple[int, str, float]]:
     """(seg_no, language, confidence) of a document from the values and sizes of its pieces.
 
     One entry with seg_no 0, or one for each piece if at least two languages are each sure of a piece.
@@ -138,18 +160,18 @@ def decide(values: np.ndarray, letters: np.ndarray) -> list[tuple[int, str, floa
     ranked = np.sort(values, axis=1)
     sure = {int(k) for k in best[usable & (ranked[:, -1] - ranked[:, -2] >= MIXED_MARGIN)]}
     if len(sure) < 2:
-        return [(0, LANGUAGES[top], confidence(whole))]
+        return [(0, LANGUAGES[top], confidence(whole, scale))]
     among = sorted(sure)
     out = []
     for i in range(len(letters)):
         if usable[i]:
-            out.append((i + 1, LANGUAGES[max(among, key=lambda k: values[i, k])], confidence(values[i])))
+            out.append((i + 1, LANGUAGES[max(among, key=lambda k: values[i, k])], confidence(values[i], scale)))
         elif letters[i]:
             out.append((i + 1, LANGUAGES[top], 0.0))
     return out
 
 
-def documents_languages(texts: list[str], weights: np.ndarray, presence: Presence) -> list[list[tuple[int, str, float]]]:
+def documents_languages(texts: list[str], weights: np.ndarray, presence: Presence, scale: float = CONFIDENCE_SCALES[6]) -> list[list[tuple[int, str, float]]]:
     """decide() for each text."""
     rows, letters, ends = [], [], [0]
     for t in texts:
@@ -158,7 +180,7 @@ def documents_languages(texts: list[str], weights: np.ndarray, presence: Presenc
             letters.append(n)
         ends.append(len(rows))
     values, letters = scores(weights, rows), np.asarray(letters)
-    return [decide(values[a:b], letters[a:b]) for a, b in zip(ends, ends[1:])]
+    return [decide(values[a:b], letters[a:b], scale) for a, b in zip(ends, ends[1:])]
 
 
 def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
@@ -174,7 +196,8 @@ def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
     return near.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "text")
 
 
-def train(docs: DataFrame) -> np.ndarray:
+def train(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """(n-gram weights, scale of the confidences)."""
     rows = labelled_sample(docs).collect()
     texts, labels = [], []
     for r in sorted(rows, key=lambda r: (r.lang, r.text)):
@@ -182,7 +205,7 @@ def train(docs: DataFrame) -> np.ndarray:
             if len(p) >= MIN_LETTERS:
                 texts.append(p)
                 labels.append(r.lang)
-    return fit(texts, labels)
+    return fit(texts, labels), fit_scale(texts, labels)
 
 
 def label_code(label: Column) -> Column:
@@ -194,7 +217,7 @@ def label_code(label: Column) -> Column:
     return out
 
 
-def classify_prose(texts: DataFrame, weights: np.ndarray) -> DataFrame:
+def classify_prose(texts: DataFrame, weights: np.ndarray, scale: float) -> DataFrame:
     """(file_id, seg_no, lang, confidence) of every prose text; other texts give no row."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)  # DIMENSIONS x 6 floats: 1.5 MB
 
@@ -205,7 +228,7 @@ def classify_prose(texts: DataFrame, weights: np.ndarray) -> DataFrame:
             prose = [(i, t) for i, t in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist()) if K.is_prose(t)]
             for at in range(0, len(prose), SCORING_BATCH):
                 part = prose[at : at + SCORING_BATCH]
-                for (i, _), found in zip(part, documents_languages([t for _, t in part], w, presence)):
+                for (i, _), found in zip(part, documents_languages([t for _, t in part], w, presence, scale)):
                     for seg, lang, conf in found:
                         for column, v in zip(out, (i, seg, lang, conf)):
                             column.append(v)
@@ -222,6 +245,6 @@ def language_findings(texts: DataFrame, metadata: DataFrame, docs: DataFrame) ->
     ignored, repeated rows count once, a file without metadata counts as unlabelled; empty tables give an empty result.
     A paragraph with fewer than MIN_LETTERS letters takes the language of the document; one without letters gives no row.
     """
-    found = classify_prose(texts, train(docs)).groupBy("file_id", "seg_no", "lang").agg(F.max("confidence").alias("confidence"))
+    found = classify_prose(texts, *train(docs)).groupBy("file_id", "seg_no", "lang").agg(F.max("confidence").alias("confidence"))
     labels = metadata.select("file_id", label_code(F.col("language")).alias("label")).groupBy("file_id").agg(F.max("label").alias("label"))
     return found.join(labels, "file_id", "left").filter((F.col("seg_no") > 0) | F.col("label").isNull() | (F.col("label") != F.col("lang"))).drop("label")

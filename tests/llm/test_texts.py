@@ -129,6 +129,19 @@ def test_languages(weights):
     assert all(0 <= x[2] <= 1 for x in found[0])
 
 
+def test_confidences_are_calibrated():
+    rng, texts, labels = np.random.default_rng(2), [], []
+    for lang, s in WORDS.items():
+        for _ in range(30):
+            texts.append(" ".join(rng.permutation(s.split())))
+            labels.append(lang)
+    order = rng.permutation(len(texts))
+    scale = language.fit_scale([texts[i] for i in order], [labels[i] for i in order])
+    assert scale in language.CONFIDENCE_SCALES
+    assert language.confidence(np.array([1.0, 0.0]), 1.0) < language.confidence(np.array([1.0, 0.0]), 4.0) < 1
+    assert language.fit_scale([], []) in language.CONFIDENCE_SCALES
+
+
 def test_presence_is_a_set(weights):
     p = language.Presence()
     a, b = p.ids("banana banana"), p.ids("banana banana banana")
