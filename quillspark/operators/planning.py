@@ -43,6 +43,11 @@ def unprocessed(files: DataFrame, done: DataFrame) -> DataFrame:
     return files.join(done.select("file_id").distinct(), "file_id", "left_anti")
 
 
+def kept_progress(log: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """What a progress log keeps: its different entries that are still among the files; null entries go."""
+    return log.select(key).filter(F.col(key).isNotNull()).distinct().join(files.select(key).distinct(), key, "left_semi")
+
+
 def new_categories(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """Categories not in the structure, compared without case and outer blanks."""
     fold = F.lower(F.trim("category")).alias("category")

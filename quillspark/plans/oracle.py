@@ -176,7 +176,7 @@ def oracle_sql() -> dict[str, str]:
     inj, scr = any_of("left(t, 4096)", security.INJECTION), any_of("left(t, 8192)", security.SCRIPTS, "is")
     p = r"replace(file_name, '\', '/')"
     return {
-        "T01_file_metadata": on_corpus(f"doc_id, {EXT} AS file_extension, {MIME} AS mime_type"),
+        "T01_file_metadata": on_corpus(f"doc_id, file_name, file_size, CAST(modified AS DATE) AS modified, {EXT} AS file_extension, {MIME} AS mime_type"),
         "T02_content_counts": on_corpus(rf"doc_id, len(t) AS content_length, len({WORDS}) AS word_count, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS line_count, len(list_filter(string_split(t, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S'))) AS paragraph_count"),
         "T03_T04_structure_flags": on_corpus(f"doc_id, {HEADERS} AS has_headers, {HAS_NUMBERS} AS has_numbers, {HAS_DATES} AS has_dates, {HAS_MONEY} AS has_currency"),
         "T05_L01_U03_entities": on_corpus(ent),

@@ -99,7 +99,7 @@ def known_categories(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "T01_file_metadata": on_corpus(lambda c: c.select("doc_id", profile.extension(F.col("file_name")).alias("file_extension"), profile.mime_type(F.col("file_name")).alias("mime_type"))),
+        "T01_file_metadata": on_corpus(lambda c: c.select("doc_id", "file_name", "file_size", F.to_date("modified").alias("modified"), profile.extension(F.col("file_name")).alias("file_extension"), profile.mime_type(F.col("file_name")).alias("mime_type"))),
         "T02_content_counts": on_corpus(profile.content_counts),
         "T03_T04_structure_flags": on_corpus(profile.structure_flags),
         "T05_L01_U03_entities": on_corpus(entities),

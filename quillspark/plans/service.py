@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,6 +174,17 @@ def refiner_results(spark: SparkSession, d: str) -> DataFrame:
     return classify.disambiguated(base, fixes.join(named, "file_name").select("doc_id", F.col("to_category").alias("category"), F.lit(1.0).alias("confidence")))
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def appended_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Session rows written in two appends; a session delivered twice is written once."""
+    s = history.session_rows(load(spark, d, "organization_sessions")).select("session_id", "documents_processed", "structure_type")
+    early = F.col("documents_processed") < 60
+    return source.append_and_read([s.filter(early), s.filter(~early)], own_path(spark, "sessions"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "T46_T47_T48_T49_L03_L04_W06_X07_extractor": on_corpus(extract.extractor),
@@ -194,6 +207,9 @@ def queries() -> dict[str, Query]:
         "S17_export_lines": lambda s, d: settings.export_lines(resolved_layers(s, d)),
         "S18_without_secrets": lambda s, d: settings.without_secrets(resolved_layers(s, d)),
         "S13_history_tables": lambda s, d: history.ensure_history(s, shared_dir(s) + "/history"),
+        "S12_appended_sessions": appended_sessions,
+        "S11_state": lambda s, d: source.state_written(history.learned_patterns(load(s, d, "user_corrections")), own_path(s, "state")),
+        "S15_kept_progress": lambda s, d: planning.kept_progress(load(s, d, "user_corrections"), files(s, d), "file_name"),
         "S14_G22_learned_patterns": lambda s, d: history.learned_patterns(load(s, d, "user_corrections")),
         "G22_pattern_success": lambda s, d: history.pattern_success(results(s, d), load(s, d, "user_corrections")),
         "S20_P09_tally": lambda s, d: planning.tally(checked_operations(s, d)),

@@ -116,6 +116,9 @@ def oracle_sql() -> dict[str, str]:
         "S17_export_lines": f"WITH {LAYERS} SELECT name, 'export QUILL_' || upper(name) || '=''' || value || '''' AS line FROM r WHERE value IS NOT NULL",
         "S18_without_secrets": f"WITH {LAYERS} SELECT name, CASE WHEN NOT contains(upper(name), 'API_KEY') THEN value END AS value FROM r",
         "S13_history_tables": "SELECT * FROM (VALUES ('organization_history', 0, 'session_id', 'string'), ('organization_history', 1, 'session_time', 'timestamp'), ('organization_history', 2, 'documents_processed', 'bigint'), ('organization_history', 3, 'success_rate', 'double'), ('organization_history', 4, 'structure_type', 'string'), ('organization_history', 5, 'quality_score', 'double'), ('organization_history', 6, 'metadata', 'string'), ('category_history', 0, 'session_id', 'string'), ('category_history', 1, 'category', 'string'), ('category_history', 2, 'document_count', 'bigint'), ('category_history', 3, 'average_confidence', 'double'), ('user_corrections', 0, 'file_name', 'string'), ('user_corrections', 1, 'from_category', 'string'), ('user_corrections', 2, 'to_category', 'string'), ('user_corrections', 3, 'session_id', 'string'), ('user_corrections', 4, 'correction_time', 'timestamp')) v(\"table\", position, \"column\", type)",
+        "S12_appended_sessions": "SELECT DISTINCT ON (session_id) session_id, documents_processed, structure_type FROM organization_sessions WHERE documents_processed IS NOT NULL",
+        "S11_state": f"WITH {CORR}, b AS (SELECT 'category_strengthening' AS pattern_type, to_category AS category FROM cor UNION ALL SELECT 'category_weakening', from_category FROM cor) SELECT pattern_type, category, count(*) AS n FROM b WHERE category IS NOT NULL GROUP BY ALL",
+        "S15_kept_progress": "SELECT DISTINCT file_name FROM user_corrections WHERE file_name IN (SELECT file_name FROM document_metadata WHERE file_name IS NOT NULL)",
         "S14_G22_learned_patterns": f"WITH {CORR}, b AS (SELECT 'category_strengthening' AS pattern_type, to_category AS category FROM cor UNION ALL SELECT 'category_weakening', from_category FROM cor) SELECT pattern_type, category, count(*) AS n FROM b WHERE category IS NOT NULL GROUP BY ALL",
         "G22_pattern_success": f"WITH {RESULTS}, {CORR} SELECT 'successful' AS outcome, 'high_confidence_rules' AS pattern_type, least(count(*), 100) AS n FROM res WHERE confidence >= 0.8 UNION ALL SELECT 'failed', 'category_weakening', count(DISTINCT from_category) FROM cor UNION ALL SELECT 'failed', 'failed_classifications', count(*) FROM res WHERE category IS NULL",
         "S20_P09_tally": f"WITH {CHECKED} SELECT count(*) AS total_operations, count(*) FILTER (error IS NULL) AS successful_operations, count(error) AS failed_operations, count(*) FILTER (error IS NULL AND type = 'create_dir') AS created_directories, count(*) FILTER (error IS NULL AND type = 'move') AS moved_files, round(100.0::DOUBLE * count(*) FILTER (error IS NULL) / count(*), 6) AS success_rate FROM op",

@@ -241,6 +241,19 @@ def write_history(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_and_read(parts: list[DataFrame], path: str) -> DataFrame:
+    """A history table after several appends."""
+    for p in parts:
+        write_history(p, path)
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(path)
+
+
+def state_written(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of learned state written as JSON lines and read back, null fields included."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return rows.sparkSession.read.schema(rows.schema).json(path)
+
+
 def read_settings(spark: SparkSession, path: str, defaults: dict[str, str]) -> dict[str, str]:
     """A small JSON state file over its defaults; a missing or broken file gives the defaults."""
     try:

@@ -75,6 +75,15 @@ def test_unicode(spark):
     assert one(c.select("doc_id", clean.normalise_unicode(F.col("content")).alias("t")), "t") == ["é - ... ab", None]
 
 
+def test_spread_only_reshuffles_small_inputs(spark):
+    from quillspark.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    small, large = spark.range(100).coalesce(1), spark.range(0, 100, 1, cores + 3)
+    assert spread(small).rdd.getNumPartitions() == cores and spread(large).rdd.getNumPartitions() == cores + 3
+    assert sorted(r.id for r in spread(small).collect()) == list(range(100)) and spread(spark.range(0)).count() == 0
+
+
 def test_names(spark):
     d = spark.createDataFrame([(0, "'ab'"), (1, None), (2, "x" * 300), (3, "word_" * 60), (4, "my script run"), (5, "***")], "doc_id bigint, n string")
     out = one(d.select("doc_id", security.chosen_name(F.col("n")).alias("n")), "n")
