@@ -194,7 +194,7 @@ def oracle_sql() -> dict[str, str]:
         "T26_model_wrapper": on_corpus(f"doc_id, CASE WHEN replace({EXT}, '.', '') <> '' THEN '[' || upper(replace({EXT}, '.', '')) || ' DOCUMENT]' || chr(10) ELSE '' END || t || chr(10) || '[Extracted via: text_file]' AS wrapped"),
         "T28_chosen_name": chosen_name(),
         "T30_safe_name": rf"{corpus_cte()}, e AS (SELECT doc_id, file_name, regexp_replace(file_name, '[<>:\"|?*\\/]', '_', 'g') AS s FROM corpus), f AS (SELECT doc_id, file_name, CASE WHEN upper(regexp_replace(s, '([^/.])\.[^./]*$', '\1')) IN {RESERVED} THEN 'file_' || s ELSE s END AS s FROM e) SELECT doc_id, CASE WHEN file_name IS NULL OR file_name = '' THEN 'unnamed_file' WHEN trim(s) = '' THEN 'sanitized_file' WHEN len(s) > 255 THEN left(s, 255 - len(regexp_extract(s, '[^.](\.[^.]*)$', 1))) || regexp_extract(s, '[^.](\.[^.]*)$', 1) ELSE s END AS name FROM f",
-        "T32_checked_name": rf"{corpus_cte()}, e AS (SELECT doc_id, regexp_replace(left(file_name, 160), '[^a-zA-Z0-9._\-\s]', '', 'g') AS s FROM corpus) SELECT doc_id, CASE WHEN upper(s) IN ('.', '..') OR upper(s) IN {RESERVED} OR regexp_replace(s, '^[. ]+|[. ]+$', '', 'g') = '' THEN NULL ELSE regexp_replace(s, '^[. ]+|[. ]+$', '', 'g') END AS name FROM e",
+        "T32_U06_checked_name": rf"{corpus_cte()}, e AS (SELECT doc_id, regexp_replace(left(file_name, 160), '[^a-zA-Z0-9._\-\s]', '', 'g') AS s FROM corpus) SELECT doc_id, CASE WHEN upper(s) IN ('.', '..') OR upper(s) IN {RESERVED} OR regexp_replace(s, '^[. ]+|[. ]+$', '', 'g') = '' THEN NULL ELSE regexp_replace(s, '^[. ]+|[. ]+$', '', 'g') END AS name FROM e",
         "T33_model_input": on_corpus(rf"doc_id, CASE WHEN {inj} THEN 'refused' ELSE 'ok' END AS status, md5(CASE WHEN {inj} THEN '-' ELSE trim(regexp_replace({printable}, '\s+', ' ', 'g')) END) AS digest"),
         "T34_script_check": on_corpus(f"doc_id, CASE WHEN {scr} THEN 'warned' ELSE 'ok' END AS status, md5(CASE WHEN {scr} THEN coalesce(content, '-') ELSE left(t, 8192) END) AS digest"),
         "T35_without_dangers": on_corpus(f"doc_id, {DANGERS} AS content"),
@@ -213,7 +213,7 @@ def oracle_sql() -> dict[str, str]:
         "G02_G05_G07_methods": f"WITH {RESULTS} SELECT method, count(*) AS n, count(*) FILTER (confidence >= 0.8) AS high, count(*) FILTER (confidence >= 0.5 AND confidence < 0.8) AS medium FROM res GROUP BY method",
         "G01_processing_summary": "WITH a AS (SELECT DISTINCT ON (content_id) * FROM extracted_content), g AS (SELECT *, (coalesce(quality, 'failed') <> 'failed')::INT AS ok FROM a) SELECT 'quality' AS \"by\", coalesce(quality, 'none') AS \"value\", count(*) AS n, round(avg(ok), 6) AS success_share FROM g GROUP BY 2 UNION ALL SELECT 'method', coalesce(extraction_method, 'none'), count(*), round(avg(ok), 6) FROM g GROUP BY 2 UNION ALL SELECT 'kind', coalesce(file_type, 'none'), count(*), round(avg(ok), 6) FROM g GROUP BY 2 UNION ALL SELECT 'total', '', count(*), round(avg(ok), 6) FROM g",
         "G09_X01_distribution": f"{DATED}{DIST} SELECT * FROM ds",
-        "G10_L07_peaks": f"{DATED}{DIST} SELECT grain, period, CASE WHEN grain = 'month' THEN ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][period] ELSE 'Q' || period END AS name, n FROM (SELECT *, row_number() OVER (PARTITION BY grain ORDER BY n DESC, period) AS r FROM ds WHERE grain <> 'year') WHERE r = 1",
+        "G10_L07_X05_peaks": f"{DATED}{DIST} SELECT grain, period, CASE WHEN grain = 'month' THEN ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][period] ELSE 'Q' || period END AS name, n FROM (SELECT *, row_number() OVER (PARTITION BY grain ORDER BY n DESC, period) AS r FROM ds WHERE grain <> 'year') WHERE r = 1",
         "G11_X06_seasonal": f"{DATED}{QUARTERS}, cs AS (SELECT category, sum(c) AS total, count(*) AS qs, stddev_pop(c) / avg(c) AS cv, arg_min(q, -c * 10 + q) AS peak FROM cq GROUP BY category) SELECT category, qs >= 2 AND cv > 0.5 AS pattern_detected, CASE WHEN qs >= 2 THEN round(cv, 6) END AS pattern_strength, CASE WHEN qs >= 2 AND cv > 0.5 THEN 'Q' || peak END AS peak_quarter, CASE WHEN qs >= 2 AND cv > 0.5 THEN {SEASON} END AS seasonal_type FROM cs WHERE total >= 3",
         "G12_overall_season": f"{DATED}, cq AS (SELECT quarter(dt) AS q, count(*) AS c FROM n GROUP BY 1) SELECT 'Q' || arg_min(q, -c * 10 + q) AS peak_quarter, round(max(c) / sum(c) * 100, 6) AS peak_percentage, CASE WHEN count(*) < 2 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, stddev_pop(c) / avg(c)), 6) END AS seasonal_strength FROM cq",
         "G13_G14_fiscal_inference": f"{DATED}, m AS (SELECT count(*) FILTER (month(dt) IN (3, 4))::DOUBLE AS financial, (count(*) FILTER (month(dt) = 9) * 1.5)::DOUBLE AS academic, count(*) FILTER (month(dt) IN (9, 10))::DOUBLE AS federal, count(*)::DOUBLE / 12 AS calendar, count(DISTINCT month(dt)) AS months FROM n) SELECT round(financial, 6) AS financial, round(academic, 6) AS academic, round(federal, 6) AS federal, round(calendar, 6) AS calendar, CASE WHEN months = 0 THEN 'calendar' WHEN financial >= greatest(academic, federal, calendar) THEN 'financial' WHEN academic >= greatest(federal, calendar) THEN 'academic' WHEN federal >= calendar THEN 'federal' ELSE 'calendar' END AS fiscal_type, round(least(1.0::DOUBLE, months / 12.0::DOUBLE * 2) * 0.3::DOUBLE, 6) AS confidence FROM m",

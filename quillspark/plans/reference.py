@@ -119,7 +119,7 @@ def queries() -> dict[str, Query]:
         "T26_model_wrapper": on_corpus(lambda c: c.select("doc_id", clean.wrapped(F.col("content"), F.replace(profile.extension(F.col("file_name")), F.lit("."), F.lit("")), F.lit("text_file")).alias("wrapped"))),
         "T28_chosen_name": on_corpus(lambda c: c.select("doc_id", security.chosen_name(F.col("file_name")).alias("name"))),
         "T30_safe_name": on_corpus(lambda c: c.select("doc_id", security.safe_name(F.col("file_name")).alias("name"))),
-        "T32_checked_name": on_corpus(lambda c: c.select("doc_id", security.checked_name(F.col("file_name")).alias("name"))),
+        "T32_U06_checked_name": on_corpus(lambda c: c.select("doc_id", security.checked_name(F.col("file_name")).alias("name"))),
         "T33_model_input": on_corpus(lambda c: structs(c, security.model_input)),
         "T34_script_check": on_corpus(lambda c: structs(c, security.script_check)),
         "T35_without_dangers": on_corpus(lambda c: c.select("doc_id", security.without_dangers(F.col("content")).alias("content"))),
@@ -138,7 +138,7 @@ def queries() -> dict[str, Query]:
         "G02_G05_G07_methods": lambda s, d: results(s, d).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= 0.8).alias("high"), F.count_if((F.col("confidence") >= 0.5) & (F.col("confidence") < 0.8)).alias("medium")),
         "G01_processing_summary": lambda s, d: planning.processing_summary(load(s, d, "extracted_content").dropDuplicates(["content_id"])),
         "G09_X01_distribution": lambda s, d: temporal.distribution(dated(s, d)),
-        "G10_L07_peaks": lambda s, d: temporal.peaks(dated(s, d)),
+        "G10_L07_X05_peaks": lambda s, d: temporal.peaks(dated(s, d)),
         "G11_X06_seasonal": lambda s, d: temporal.seasonal(dated(s, d)),
         "G12_overall_season": lambda s, d: temporal.overall_season(dated(s, d)),
         "G13_G14_fiscal_inference": lambda s, d: temporal.fiscal_inference(dated(s, d)),

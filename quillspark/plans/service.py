@@ -185,6 +185,42 @@ def appended_sessions(spark: SparkSession, d: str) -> DataFrame:
     return source.append_and_read([s.filter(early), s.filter(~early)], own_path(spark, "sessions"))
 
 
+def rendered_folder(spark: SparkSession, d: str) -> str:
+    """A folder of one small file a nation, some hidden, some of kinds that are not processed, some in a folder below."""
+    folder = own_path(spark, "intake")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in load(spark, d, "nation").select("n_nationkey", F.repeat(F.concat("n_name", F.lit(" is one of many nations. ")), F.col("n_nationkey").cast("int")).alias("text")).collect():  # 25 rows by nature
+        name = ("sub/{}.txt", "{}.MD", "{}.gif", ".{}.txt", "{}.exe")[r.n_nationkey % 5].format(r.n_nationkey)
+        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+        out.write(bytearray(r.text.encode()))
+        out.close()
+    return folder
+
+
+def discovered(spark: SparkSession, d: str) -> DataFrame:
+    """(name, length) of the files of a folder that are processed, on its first level."""
+    found = source.valid(source.discover(spark, rendered_folder(spark, d), recursive=False))
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length")
+
+
+def extracted(spark: SparkSession, d: str) -> DataFrame:
+    """What the readers make of a folder and the folders below it."""
+    out = source.extract(source.discover(spark, rendered_folder(spark, d)))
+    return out.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "file_type", "text", "extraction_method", "quality")
+
+
+def moved(spark: SparkSession, d: str) -> DataFrame:
+    """(name, copies, contents): the files of a local folder after they were moved to two names each, without overwriting."""
+    folder = own_path(spark, "moves").removeprefix("file:")
+    rows = load(spark, d, "nation").select("n_nationkey").collect()  # 25 rows by nature
+    for r in rows:
+        source.write_atomically(f"{folder}/from/{r.n_nationkey}.txt", str(r.n_nationkey))
+    plan = spark.createDataFrame([("move", f"{folder}/from/{r.n_nationkey}.txt", f"{folder}/to/{r.n_nationkey % 7}.txt") for r in rows] + [("move", f"{folder}/from/none", f"{folder}/to/none")], "type string, source string, target string")
+    done = source.run_operations(plan)
+    kept = done.filter("error is null").select(F.regexp_extract("target", "([^/_]*?)(_[0-9]+)?[.]txt$", 1).alias("name"), F.regexp_extract("source", "([0-9]+)[.]txt$", 1).cast("int").alias("c"), "target")
+    return kept.groupBy("name").agg(F.count_distinct("target").alias("copies"), F.sum("c").alias("contents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "T46_T47_T48_T49_L03_L04_W06_X07_extractor": on_corpus(extract.extractor),
@@ -201,6 +237,9 @@ def queries() -> dict[str, Query]:
         "T09_profiled_files": profiled_files,
         "T27_pipeline": pipeline,
         "S05_S06_S07_chosen_reader": chosen,
+        "S01_S02_discovered": discovered,
+        "S01_S03_S04_extracted": extracted,
+        "S21_S22_moved": moved,
         "S08_base64": lambda s, d: load(s, d, "documents").select("doc_id", source.one_line_base64(F.encode("text", "UTF-8")).alias("image_data")),
         "S26_old_files": lambda s, d: source.older_than(files(s, d).filter("file_name like '%.txt'").select(F.col("file_path").alias("path"), F.col("modification_date").alias("modificationTime")), 365, F.to_timestamp(F.lit("2020-01-01"))),
         "S16_S19_settings": resolved_layers,

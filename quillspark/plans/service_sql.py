@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillspark.corpus import corpus_cte
-from quillspark.plans.oracle import BASE, CORR, DATED, FILES, FULL, RESULTS, LOG, SCORES, any_of, find, lit, on_corpus
+from quillspark.plans.oracle import BASE, CORR, DATED, FILES, FULL, GRADE, RESULTS, LOG, SCORES, any_of, find, lit, on_corpus
 
 DATE_FIND = [(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", 0), (r"\d{4}[/-]\d{1,2}[/-]\d{1,2}", 0), (r"\b\d{1,2}\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{4}\b", 1), (r"\b(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b", 1)]
 MONEY_FIND = [(r"\$\d+(?:\.\d{2})?", 0), (r"USD\s*\d+(?:\.\d{2})?", 0), (r"€\d+(?:\.\d{2})?", 0), (r"£\d+(?:\.\d{2})?", 0), (r"\d+\.\d{2}\s*(?:USD|EUR|GBP|CAD|AUD)", 0)]
@@ -110,6 +110,9 @@ def oracle_sql() -> dict[str, str]:
         "T53_retries": f"{SAID} SELECT doc_id, regexp_matches(lower(coalesce(message, '')), '{RETRY}') AS retry, least(1.0::DOUBLE * pow(2.0, attempt - 1), 50.0) AS delay FROM m",
         "T09_profiled_files": f"WITH {ATTEMPTS}, {FILES}, x AS (SELECT file_id, max(text) AS content FROM att WHERE regexp_matches(text, '\\S') GROUP BY 1), b AS (SELECT file_id AS doc_id, file_name, file_size, coalesce(content, '') AS content, coalesce(content, '') AS t FROM fil LEFT JOIN x USING (file_id)), f AS (SELECT {FULL} FROM b) SELECT * EXCLUDE (doc_id), doc_id AS file_id FROM f",
         "S05_S06_S07_chosen_reader": f"WITH {ATTEMPTS}, a AS (SELECT file_id, content_id, extraction_method, list_position(['failed', 'poor', 'fair', 'good', 'excellent'], coalesce(quality, 'failed')) AS g, CASE extraction_method WHEN 'pymupdf' THEN 0 WHEN 'pypdf' THEN 1 WHEN 'ocr' THEN 2 ELSE 3 END AS o, coalesce(len(trim(text)), 0) AS chars FROM att WHERE file_id IS NOT NULL), c AS (SELECT * FROM a WHERE g > 1), f AS (SELECT file_id, bool_or(o < 2 AND chars < 100) AND bool_or(o = 2) AS wait FROM c GROUP BY 1), k AS (SELECT c.*, o = 2 OR g >= 4 AND NOT wait AS now FROM c JOIN f USING (file_id)) SELECT file_id, content_id, extraction_method FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY NOT now, CASE WHEN now THEN o ELSE -g END, content_id) AS r FROM k) WHERE r = 1",
+        "S01_S02_discovered": "SELECT CASE n_nationkey % 5 WHEN 1 THEN n_nationkey || '.MD' ELSE n_nationkey || '.gif' END AS name, strlen(repeat(n_name || ' is one of many nations. ', n_nationkey)) AS length FROM nation WHERE n_nationkey % 5 IN (1, 2)",
+        "S01_S03_S04_extracted": f"WITH n AS (SELECT n_nationkey AS k, repeat(n_name || ' is one of many nations. ', n_nationkey) AS t FROM nation WHERE n_nationkey % 5 < 3 AND n_nationkey > 0) SELECT k || CASE k % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' ELSE '.gif' END AS name, CASE k % 5 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' ELSE 'gif' END AS file_type, CASE WHEN k % 5 = 2 THEN '' ELSE t END AS text, CASE WHEN k % 5 = 2 THEN 'failed' ELSE 'text_file' END AS extraction_method, CASE WHEN k % 5 = 2 THEN 'failed' ELSE {GRADE} END AS quality FROM n",
+        "S21_S22_moved": "SELECT CAST(n_nationkey % 7 AS VARCHAR) AS name, count(*) AS copies, sum(n_nationkey)::BIGINT AS contents FROM nation GROUP BY 1",
         "S08_base64": "SELECT doc_id, to_base64(encode(text)) AS image_data FROM documents",
         "S26_old_files": f"WITH {FILES} SELECT file_path AS path FROM fil WHERE file_name LIKE '%.txt' AND modification_date < TIMESTAMP '2020-01-01' - INTERVAL 365 DAY",
         "S16_S19_settings": f"WITH {LAYERS} SELECT *, CASE WHEN value IS NULL THEN true ELSE lower(trim(value)) IN ('true', '1', 'yes', 'on') END AS flag FROM r",

@@ -329,6 +329,7 @@ def run_operations(operations: DataFrame) -> DataFrame:
 def write_atomically(path: str, content: str, tries: int = 3) -> None:
     """Write a text file beside its place and put it there in one step; on failure the old file stays."""
     beside = f"{path}.tmp"
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     for left in range(tries - 1, -1, -1):
         try:
             with open(beside, "w", encoding="utf-8") as f:
