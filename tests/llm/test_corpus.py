@@ -45,6 +45,30 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == want and (1000, 1001) in want
 
 
+def test_places_are_searched_by_ranges():
+    rng, maps = np.random.default_rng(4), {}
+    sets = {i: np.unique(rng.integers(0, 1 << 48, 40, dtype=np.uint64) if i % 3 else np.arange(i, i + 40, dtype=np.uint64) << np.uint64(41)) for i in range(90)}
+    maps = [neardup.signature(h) for h in sets.values()]
+    tokens = np.concatenate(list(sets.values()))
+    docs = np.repeat(np.arange(90, dtype=np.uint32), [len(h) for h in sets.values()])
+    positions = np.concatenate([np.arange(len(h), dtype=np.uint32) for h in sets.values()])
+    order = np.argsort(tokens, kind="stable")
+
+    def row():
+        step = np.diff(tokens[order], prepend=np.uint64(0))
+        split = lambda a, w: a.view(np.uint8).reshape(len(a), -1)[:, :w].T.tobytes()
+        return {"ids": np.arange(90, dtype=np.int64).tobytes(), "sizes": np.array([len(h) for h in sets.values()], np.uint32).tobytes(), "maps": np.stack(maps).tobytes(), "tokens": split(step, 6), "docs": split(docs[order], 4), "positions": split(positions[order], 4)}
+
+    whole = neardup.Place([row(), row()], 3, 5).pairs()
+    entries = neardup.RANGE_ENTRIES
+    try:
+        neardup.RANGE_ENTRIES = 100
+        parts = neardup.Place([row()], 3, 5).pairs()
+    finally:
+        neardup.RANGE_ENTRIES = entries
+    assert len(whole) and {tuple(x) for x in whole} == {tuple(x) for x in parts}
+
+
 def test_large_groups_go_through_the_tree(spark):
     rng = random.Random(5)
     texts = [(i, "alpha beta gamma delta " + " ".join(f"u{rng.randrange(9)}" for _ in range(6))) for i in range(260)]
