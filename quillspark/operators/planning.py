@@ -101,7 +101,8 @@ def without_collisions(moves: DataFrame) -> DataFrame:
     """(file_id, target): equal names in a folder get _1, _2, ... in order of file_id, before the suffix.
 
     moves: (file_id, folder, name). The number of a copy passes over names that are there already. Ranks are counted
-    within ranges of file ids and the ranges added up, so a name on very many files is not sorted in one task.
+    within ranges of file ids and the ranges added up, so a name on very many files is not sorted in one task; only copies
+    of a name of which numbered ones are there go through a running count, which streams. Null names give a null target.
     """
     stem, ext = F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 2)
     part = moves.select("file_id", "folder", "name").withColumn("part", F.floor(F.col("file_id") / ID_RANGE))
@@ -109,12 +110,17 @@ def without_collisions(moves: DataFrame) -> DataFrame:
     sizes = part.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("k"))
     before = sizes.withColumn("before", F.sum("k").over(Window.partitionBy(*keys).orderBy("part")) - F.col("k")).drop("k")
     ranked = part.join(before, [*keys, "part"]).withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy(*keys, "part").orderBy("file_id")) - 1)
-    # numbers already taken by a file whose own name is the stem with _number
+    # numbers already taken by a file whose own name is the stem with _number, each less the taken ones up to it
     whole = r"^(.+?)_([1-9]\d{0,8})(\.[^.]*)?$"
-    taken = part.filter(F.col("name").rlike(whole)).select("folder", F.concat(F.regexp_extract("name", whole, 1), F.regexp_extract("name", whole, 3)).alias("name"), F.regexp_extract("name", whole, 2).cast("bigint").alias("number"))
-    taken = taken.groupBy(*keys).agg(F.array_sort(F.collect_set("number")).alias("taken"))
-    free = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("n"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
-    named = ranked.join(taken, list(keys), "left").withColumn("number", F.when(F.col("n") > 0, free))
+    taken = part.filter(F.col("name").rlike(whole)).select("folder", F.concat(F.regexp_extract("name", whole, 1), F.regexp_extract("name", whole, 3)).alias("name"), F.regexp_extract("name", whole, 2).cast("bigint").alias("number")).distinct()
+    taken = taken.withColumn("n", F.col("number") - F.row_number().over(Window.partitionBy(*keys).orderBy("number")))
+    marked = ranked.select("file_id", *keys, "n").join(taken.select(*keys, F.lit(True).alias("met")).distinct(), list(keys), "left")
+    plain = F.col("met").isNull() | (F.col("n") == 0)
+    # the k-th free number is k and as many more as taken numbers lie before it: a running count over both in order
+    events = marked.filter(~plain).select(*keys, "file_id", "n", F.lit(0).alias("is_taken")).unionByName(taken.select(*keys, F.lit(None).cast("bigint").alias("file_id"), "n", F.lit(1).alias("is_taken")))
+    passed = F.sum("is_taken").over(Window.partitionBy(*keys).orderBy("n", "is_taken").rowsBetween(Window.unboundedPreceding, 0))
+    shifted = events.withColumn("number", F.col("n") + passed).filter("is_taken = 0").select("file_id", *keys, "number")
+    named = marked.filter(plain).select("file_id", *keys, F.when(F.col("n") > 0, F.col("n")).alias("number")).unionByName(shifted)
     return named.select("file_id", F.concat(F.col("folder"), F.lit("/"), stem, F.when(F.col("number").isNotNull(), F.concat(F.lit("_"), F.col("number").cast("string"))).otherwise(""), ext).alias("target"))
 
 

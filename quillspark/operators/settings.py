@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +117,3 @@ def masked_key(key: Column) -> Column:
     long = F.concat(F.substring(key, 1, 10), F.repeat(F.lit("*"), n - 14), F.right(key, F.lit(4)))
     short = F.concat(F.substring(key, 1, 6), F.repeat(F.lit("*"), F.greatest(n - 6, F.lit(0))))
     return F.when(n >= 14, long).otherwise(short)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

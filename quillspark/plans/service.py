@@ -212,6 +212,8 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
 def moved(spark: SparkSession, d: str) -> DataFrame:
     """(name, copies, contents): the files of a local folder after they were moved to two names each, without overwriting."""
     folder = own_path(spark, "moves").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError("files are moved on disks, and the shared folder is none")
     rows = load(spark, d, "nation").select("n_nationkey").collect()  # 25 rows by nature
     for r in rows:
         source.write_atomically(f"{folder}/from/{r.n_nationkey}.txt", str(r.n_nationkey))

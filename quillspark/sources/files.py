@@ -278,10 +278,15 @@ def chosen_attempts(attempts: DataFrame) -> DataFrame:
     order = F.when(F.col("extraction_method") == "pymupdf", 0).when(F.col("extraction_method") == "pypdf", 1).when(F.col("extraction_method") == "ocr", 2).otherwise(3)
     grade = F.coalesce(F.array_position(F.array(*[F.lit(g) for g in GRADES]), F.coalesce("quality", F.lit("failed"))), F.lit(0)).cast("int")
     a = attempts.filter("file_id is not null").withColumns({"o": order, "g": grade}).filter("g > 1")
-    file = a.groupBy("file_id").agg(F.max((F.col("o") < 2) & (F.coalesce("chars", F.lit(0)) < CHARS_PER_PAGE * F.greatest(F.lit(1), F.coalesce("pages", F.lit(1))))).alias("thin"), F.max(F.col("o") == 2).alias("recognised"), F.collect_set(F.struct("o", "g", "content_id", "extraction_method")).alias("tries"))
-    wait = F.col("thin") & F.col("recognised")
-    key = F.transform("tries", lambda x: F.struct(F.when((x["o"] == 2) | (x["g"] >= 4) & ~wait, 0).otherwise(1).alias("late"), F.when((x["o"] == 2) | (x["g"] >= 4) & ~wait, x["o"]).otherwise(-x["g"]).alias("rank"), x["content_id"].alias("content_id"), x["extraction_method"].alias("extraction_method")))
-    best = file.select("file_id", F.array_min(key).alias("k"))
+    thin = (F.col("o") < 2) & (F.coalesce("chars", F.lit(0)) < CHARS_PER_PAGE * F.greatest(F.lit(1), F.coalesce("pages", F.lit(1))))
+
+    def first(at_once: Column) -> Column:
+        """The attempt that comes first if those at_once are taken by the order of the readers, the others by grade."""
+        key = F.struct(F.when(at_once, 0).otherwise(1), F.when(at_once, F.col("o")).otherwise(-F.col("g")), F.col("content_id"))
+        return F.min_by(F.struct("content_id", "extraction_method"), key)
+
+    file = a.groupBy("file_id").agg((F.max(thin) & F.max(F.col("o") == 2)).alias("wait"), first((F.col("o") == 2) | (F.col("g") >= 4)).alias("plain"), first(F.col("o") == 2).alias("waited"))
+    best = file.select("file_id", F.when(F.col("wait"), F.col("waited")).otherwise(F.col("plain")).alias("k"))
     return best.select("file_id", "k.content_id", "k.extraction_method")
 
 

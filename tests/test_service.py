@@ -281,3 +281,13 @@ def test_zone_estimate_takes_every_written_form(spark):
     f = spark.createDataFrame(rows, "site_id bigint, creation_date string, modification_date timestamp")
     s = spark.createDataFrame([(1, None, "DMY")], "site_id bigint, tz_name string, date_order string")
     assert estimate_zones(f, s, ["UTC", "Asia/Tokyo", "Europe/Berlin", "Australia/Sydney"]).first().estimated_zone == "Asia/Tokyo"
+
+
+def test_chosen_attempts(spark):
+    rows = [
+        (1, 10, "pymupdf", "good", 50, 1), (1, 11, "ocr", "fair", 500, 1), (2, 12, "pymupdf", "good", 500, 1), (2, 13, "ocr", "excellent", 500, 1), (2, 13, "ocr", "excellent", 500, 1),
+        (3, 14, "pypdf", "poor", 900, None), (3, 15, "pymupdf", "fair", 900, 1), (4, 16, None, "failed", None, None), (5, 17, None, None, None, None), (6, 18, "pymupdf", "good", 500, 9), (6, 19, None, "good", 1, 1), (None, 20, "ocr", "good", 1, 1),
+    ]
+    a = spark.createDataFrame(rows, "file_id bigint, content_id bigint, extraction_method string, quality string, chars int, pages int")
+    assert {r.file_id: r.content_id for r in source.chosen_attempts(a).collect()} == {1: 11, 2: 12, 3: 15, 6: 18}
+    assert source.chosen_attempts(a.limit(0)).count() == 0
