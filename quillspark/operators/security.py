@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,17 +66,37 @@ INDICATORS = {
 }
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once a row however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def chosen_name(name: Column) -> Column:
-    """A generated name within its limits: allowed characters, 10 to 160 long, cut at a word end, no forbidden words."""
+    """A generated name within its limits: allowed characters, 10 to 160 long, cut at a word end, no forbidden words.
+
+    The steps are bound by once(): written into each other they grow to hundreds of copies of the first step, which no
+    longer compile.
+    """
+
+    def shortened(s: Column) -> Column:
+        cut = F.regexp_extract(F.substring(s, 1, MAX_NAME), rf"^(.{{{MIN_NAME},}}[_-])", 1)
+        whole = once(cut, lambda c: F.when(c != "", c).otherwise(F.substring(s, 1, MAX_NAME)))
+        return F.when(F.length(s) > MAX_NAME, F.regexp_replace(whole, "[_-]+$", "")).otherwise(s)
+
+    def allowed(s: Column) -> Column:
+        def words(low: Column) -> Column:
+            out = s
+            for w in FORBIDDEN_WORDS:  # each word replaces in the lower-cased name as it was before
+                out = F.when(F.contains(low, F.lit(w)), F.replace(low, F.lit(w), F.lit("content"))).otherwise(out)
+            return out
+
+        return once(F.lower(s), words)
+
     s = F.regexp_replace(F.trim(name), "^['\"`]+|['\"`]+$", "")
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[^A-Za-z0-9_-]", "_"), "_{2,}", "_"), "^_+|_+$", "")
-    s = F.when(F.length(s) < MIN_NAME, F.concat(F.lit("document_"), s)).otherwise(s)
-    cut = F.regexp_extract(F.substring(s, 1, MAX_NAME), rf"^(.{{{MIN_NAME},}}[_-])", 1)
-    s = F.when(F.length(s) > MAX_NAME, F.regexp_replace(F.when(cut != "", cut).otherwise(F.substring(s, 1, MAX_NAME)), "[_-]+$", "")).otherwise(s)
-    low = F.lower(s)
-    for w in FORBIDDEN_WORDS:  # each word replaces in the lower-cased name as it was before
-        s = F.when(F.contains(low, F.lit(w)), F.replace(low, F.lit(w), F.lit("content"))).otherwise(s)
-    return F.when(name.isNull() | (name == ""), "unnamed_document").otherwise(F.when(s == "", "document").otherwise(s))
+    s = once(s, lambda x: F.when(F.length(x) < MIN_NAME, F.concat(F.lit("document_"), x)).otherwise(x))
+    s = once(once(once(s, shortened), allowed), lambda x: F.when(x == "", "document").otherwise(x))
+    return F.when(name.isNull() | (name == ""), "unnamed_document").otherwise(s)
 
 
 def stem(name: Column) -> Column:

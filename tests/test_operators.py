@@ -92,6 +92,14 @@ def test_names(spark):
     assert out[5] == "document_"
 
 
+def test_chosen_name_computes_each_step_once(spark):
+    d = spark.createDataFrame([(0, "Python JavaScript run"), (1, "-" * 161), (2, "a" * 12 + "-_" * 80), (3, ""), (4, "`'x'`")], "doc_id bigint, n string")
+    chosen = d.select("doc_id", security.chosen_name(F.col("n")).alias("n"))
+    assert one(chosen, "n") == ["content_javascript_run", "document", "a" * 12, "unnamed_document", "document_x"]
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^A-Za-z0-9_-]") == 1
+
+
 def test_log_secrets_in_order(spark):
     d = docs(spark, "sk-ant-" + "q" * 60, "AIza" + "z" * 40, None, "plain")
     assert one(d.select("doc_id", security.clean_log(F.col("content")).alias("t")), "t") == ["sk-ant***", "AIza***", None, "plain"]
