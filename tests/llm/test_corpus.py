@@ -97,6 +97,20 @@ GIVEN, SURNAME = frozenset({"Clara", "Hugo", "Corvin"}), frozenset({"Varnicz", "
 TEXT = "Dear Mrs Clara Varnicz, call +44 1632 960092 or (393) 555-0159 ext. 12. Mail: c_varnicz (at) post [dot] test, 12b Weir Lane, Lindsund 00025. By Kestholt, Hugo and H. T. Kestholt for Velkegard Stores. SSN 000 45 0095; Part number 412-55-9071. Passport X00651608."
 
 
+def test_equal_sets_are_searched_once(spark, monkeypatch):
+    texts = made_texts(60, 3)
+    rows = [(i * 100 + k, t) for k in range(20) for i, t in texts.items()]
+    t = spark.createDataFrame(rows, "file_id bigint, text string").repartition(6)
+    searched, search = [], neardup.candidate_pairs
+    monkeypatch.setattr(neardup, "candidate_pairs", lambda sets, *rest: searched.append([r["class"] for r in sets.select("class").collect()]) or search(sets, *rest))
+    sets = neardup.materialise(neardup.shingle_sets(t, "text", neardup.TextShingles(3)), "some-sets")
+    got = {tuple(r) for r in neardup.similar_pairs(sets).collect()}
+    classes = {r["class"] for r in sets.collect()}
+    assert sorted(searched[0]) == sorted(classes)
+    words = {i: x.split() for i, x in rows}
+    assert got == brute({i: set(zip(w, w[1:], w[2:])) for i, w in words.items()})
+
+
 def test_entities():
     found = [(k, TEXT[a:b]) for a, b, k in pii.entities(TEXT, GIVEN, SURNAME)]
     assert found == [
